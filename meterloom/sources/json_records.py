@@ -1,0 +1,60 @@
+"""JSON text to typed rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .lines import stamp_origin
+
+
+def read_json_records(
+    lines: DataFrame, schema: T.StructType | str, *, line: str = "value", inbound: str = "json"
+) -> DataFrame:
+    """One row per line: the declared fields, ``_type``, ``_inbound``, ``_raw`` and ``_error``.
+
+    ``__type__`` becomes ``_type`` when it is a string; any other ``__x__`` is a field like the
+    rest. Whole numbers above the signed range wrap around. A line that is not a JSON object, or
+    whose values do not fit the schema, is rejected.
+    """
+    if isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    # Whole numbers are read as text first, because they may exceed the signed range.
+    wire = T.StructType(
+        [T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.LongType) else f.dataType) for f in schema]
+    )
+    wire = wire.add("__type__", T.StringType()).add("_corrupt", T.StringType())
+    kept = [F.col(f"`{c}`") for c in lines.columns if c != line]
+    parsed = lines.select(
+        *kept,
+        F.col(line).alias("_raw"),
+        F.from_json(F.col(line), wire, {"columnNameOfCorruptRecord": "_corrupt"}).alias("_r"),
+        F.try_variant_get(F.try_parse_json(F.col(line)), "$.__type__", "string").alias("_type"),
+    )
+    record = F.col("_r")
+    longs = {f.name: _wrapping_long(record[f.name]) for f in schema if isinstance(f.dataType, T.LongType)}
+    bad_long = F.lit(False)
+    for name, c in longs.items():
+        bad_long = bad_long | (record[name].isNotNull() & c.isNull())
+    is_object = F.ltrim(F.col("_raw")).startswith("{")
+    error = (
+        F.when(F.coalesce(~is_object, F.lit(True)), F.lit("not a JSON object"))
+        .when(record["_corrupt"].isNotNull() | bad_long, F.lit("does not fit the schema"))
+    )
+    ok = F.col("_error").isNull()
+    rows = parsed.withColumn("_error", error).select(
+        *kept,
+        *[F.when(ok, longs.get(f.name, record[f.name])).alias(f.name) for f in schema],
+        F.when(ok, F.col("_type")).alias("_type"),
+        "_raw",
+        "_error",
+    )
+    return stamp_origin(rows, inbound)
+
+
+def _wrapping_long(text: Column) -> Column:
+    n = F.when(text.rlike("^-?[0-9]+$"), text).try_cast("decimal(20,0)")
+    span = F.lit("18446744073709551616").cast("decimal(20,0)")
+    wrapped = F.when(n > F.lit("9223372036854775807").cast("decimal(20,0)"), n - span).otherwise(n)
+    return wrapped.try_cast("bigint")
