@@ -1,0 +1,42 @@
+"""Cutting an ordered long column into ranges of about equal row count."""
+
+from __future__ import annotations
+
+import math
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Bounds how many cut points reach the driver and the generated expression.
+MAX_RANGES = 512
+
+
+def cut_points(df: DataFrame, column: str, rows: int, rows_per_range: int) -> list[int]:
+    """Upper bounds of all ranges but the last, from one approximate-quantile pass."""
+    n = min(MAX_RANGES, math.ceil(rows / max(1, rows_per_range)))
+    if n <= 1:
+        return []
+    shares = [i / n for i in range(1, n)]
+    cuts = df.agg(F.percentile_approx(column, shares, 10_000).alias("q")).first()["q"] or []
+    return sorted(set(cuts))
+
+
+def range_index(c: Column, cuts: list[int]) -> Column:
+    """Which range a value falls in: 0 for values up to and including the first cut, and so on.
+
+    The expression is a balanced tree of comparisons, so a row costs log2(ranges) of them.
+    """
+
+    def pick(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(c <= cuts[mid], pick(lo, mid)).otherwise(pick(mid + 1, hi))
+
+    return pick(0, len(cuts))
+
+
+def lookup(index: Column, values: list) -> Column:
+    """``values[index]`` as an expression; the list has one entry per range."""
+    return F.get(F.array(*[F.lit(v).cast("bigint") for v in values]), index)
+

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,6 +148,12 @@ def ntz_as_utc(c: Column) -> Column:
     )
 
 
-def epoch_millis(ts: Column) -> Column:
-    """Whole milliseconds since 1970 of a timestamp."""
-    return F.unix_millis(ts)
+def as_timestamp(df: DataFrame, name: str) -> Column:
+    """A time column as a timestamp; zone-less ones are read as UTC."""
+    c = F.col(f"`{name}`")
+    return ntz_as_utc(c) if isinstance(df.schema[name].dataType, T.TimestampNTZType) else c.cast("timestamp")
+
+
+def epoch_micros(df: DataFrame, name: str) -> Column:
+    """Microseconds since 1970 of a time column."""
+    return F.unix_micros(as_timestamp(df, name))
