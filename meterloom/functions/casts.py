@@ -54,8 +54,11 @@ NUMBER_FLOAT = T.StructType([T.StructField("value", T.DoubleType()), T.StructFie
 
 def parse_number(c: Column, kind: str) -> Column:
     """``N`` or ``N unit`` as ``struct<value, unit>``; kind is ``int`` or ``float``."""
+    return _number(strip(c), kind)
+
+
+def _number(text: Column, kind: str) -> Column:
     grammar, sql_type = (INT_RE, "bigint") if kind == "int" else (FLOAT_RE, "double")
-    text = strip(c)
     with_unit = rf"^({grammar}){SPACE}+({NON_SPACE}+)$"
     bare = text.rlike(rf"^{grammar}$") & ~text.contains("\n")
     number = F.when(bare, text).when(text.rlike(with_unit), F.regexp_extract(text, with_unit, 1))
@@ -68,7 +71,12 @@ def parse_number(c: Column, kind: str) -> Column:
 
 
 def parse_bool(c: Column) -> Column:
-    word = F.lower(strip(c))
+    """True or false in any of the accepted spellings."""
+    return _bool(strip(c))
+
+
+def _bool(text: Column) -> Column:
+    word = F.lower(text)
     return F.when(word.isin(*TRUE_WORDS), F.lit(True)).when(word.isin(*FALSE_WORDS), F.lit(False))
 
 
@@ -94,8 +102,10 @@ def parse_datetime(c: Column) -> Column:
     Day-first is tried before month-first. Text without an offset is read in the session time
     zone, and so is the ``T`` form whose offset is not RFC 3339. A date alone does not parse.
     """
-    x = strip(c)
+    return _datetime(strip(c))
+
 
+def _datetime(x: Column) -> Column:
     def moment(pattern: str, template: str) -> Column:
         return F.regexp_replace(x, pattern, template).try_cast("timestamp")
 
@@ -132,19 +142,19 @@ def _rfc2822(x: Column) -> Column:
     return F.when(weekday_fits & zone.isNotNull(), stamp)
 
 
-def cast_field(c: Column, kind: str) -> Column:
+def cast_field(c: Column, kind: str, *, stripped: bool = False) -> Column:
     """Typed value of a text field; empty text is NULL for every type."""
-    text = strip(c)
+    text = c if stripped else strip(c)
     if kind == "null":
         return F.lit(None).cast("string")
     if kind == "string":
         return F.when(text != "", text)
     if kind in ("int", "float"):
-        return parse_number(text, kind)
+        return _number(text, kind)
     if kind == "bool":
-        return parse_bool(text)
+        return _bool(text)
     if kind == "datetime":
-        return parse_datetime(text)
+        return _datetime(text)
     raise ValueError(f"unknown field type {kind!r}")
 
 

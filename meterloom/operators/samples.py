@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions.casts import cast_float
 from ..functions.maps import map_of
 from ..functions.names import label_name, metric_name, sanitize_metric
+from ..functions.once import computed_once
 from ..functions.text import datetime_text, double_text, ntz_as_utc, value_text
 from ..specs import DEFAULT_METRIC_TYPE, SAMPLE_TYPE, SeriesSpec, ValueSpec
 
@@ -24,12 +25,12 @@ def to_samples(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     A row is taken whole or not at all. NULL fields are skipped. Narrow: no shuffle.
     """
     shape = _WideShape(df, spec)
-    good = df.withColumn("_error", shape.error()).where(F.col("_error").isNull())
-    fields = good.select(
+    fields = df.select(
         shape.timestamp().alias("ts"),
         *[shape.label_text(n).alias(f"_l{i}") for i, n in enumerate(shape.labels)],
         shape.inbound().alias("_inbound"),
-        F.explode(F.array(*shape.measurements())).alias("m"),
+        # A rejected row explodes NULL, which gives no rows; no filter needs the error again.
+        F.explode(F.when(shape.error().isNull(), F.array(*shape.measurements()))).alias("m"),
     ).where(F.col("m.number").isNotNull())
     texts = {n: F.col(f"_l{i}") for i, n in enumerate(shape.labels)}
     return _finish(fields, texts, spec)
@@ -37,7 +38,7 @@ def to_samples(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def sample_errors(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """The input rows with ``_error``: why a row gives no samples, NULL where it does."""
-    return df.withColumn("_error", _WideShape(df, spec).error())
+    return computed_once(df.withColumn("_error", _WideShape(df, spec).error()))
 
 
 def _finish(fields: DataFrame, texts: dict[str, Column], spec: SeriesSpec) -> DataFrame:
@@ -137,15 +138,14 @@ def metrics_to_samples(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     The metric and every attribute that is not a label count as fields, as in
     :func:`to_samples`; without a value list a text attribute that is no label rejects its row.
     """
-    good = metric_sample_errors(df, spec).where(F.col("_error").isNull())
-    fields = good.select(
+    fields = df.withColumn("_fields", _metric_fields(spec)).select(
         _metric_ts(spec).alias("ts"),
         *[
             F.coalesce(*map(_metric_label_source, reversed(sources))).alias(f"_l{i}")
             for i, sources in enumerate(_by_clean_name(spec.labels).values())
         ],
         "_inbound",
-        F.explode(_metric_fields(spec)).alias("f"),
+        F.explode(F.when(_metric_error(spec).isNull(), F.col("_fields"))).alias("f"),
     ).select(
         "*",
         F.struct(
@@ -160,21 +160,23 @@ def metrics_to_samples(df: DataFrame, spec: SeriesSpec) -> DataFrame:
 
 def metric_sample_errors(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     """Graphite rows with ``_error``: an ingest error, or why the row gives no samples."""
-    chosen = _metric_fields(spec)
-    bad_name = F.exists(chosen, lambda f: sanitize_metric(f["name"]).isNull())
-    not_number = F.exists(chosen, lambda f: f["number"].isNull())
-    error = (
-        F.when(F.col("_error").isNotNull(), F.col("_error"))
-        .when(_metric_ts(spec).isNull(), F.lit(NO_TIMESTAMP))
+    checked = df.withColumn("_fields", _metric_fields(spec)).withColumn("_error", _metric_error(spec))
+    return computed_once(checked.drop("_fields"))
+
+
+def _metric_error(spec: SeriesSpec) -> Column:
+    """Reads the chosen fields from ``_fields``."""
+    chosen = F.col("_fields")
+    error = F.when(F.col("_error").isNotNull(), F.col("_error")).when(
+        _metric_ts(spec).isNull(), F.lit(NO_TIMESTAMP)
     )
     for n in sorted(spec.labels):
         if label_name(n) is None:
             error = error.when(_metric_label_source(n).isNotNull(), F.lit(f"invalid label name {n}"))
-    return df.withColumn(
-        "_error",
+    return (
         error.when(F.size(chosen) == 0, F.lit(NO_VALUE))
-        .when(bad_name, F.lit("invalid metric name"))
-        .when(not_number, F.lit("an attribute is neither label nor number")),
+        .when(F.exists(chosen, lambda f: sanitize_metric(f["name"]).isNull()), F.lit("invalid metric name"))
+        .when(F.exists(chosen, lambda f: f["number"].isNull()), F.lit("an attribute is neither label nor number"))
     )
 
 

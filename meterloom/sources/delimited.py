@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.casts import cast_field
+from ..functions.once import computed_once
 from ..functions.text import split_delimited, strip, token
 from ..specs import FieldSpec, check_fields
 from .lines import stamp_origin
@@ -45,6 +46,8 @@ def read_delimited(
         F.size("_tokens").alias("_n"),
         *[token(F.col("_tokens"), f.index).alias(f"_t{f.index}") for f in specs],
     )
+    # Quoted text may still have blanks at its ends. They do not count, except that a required
+    # field of nothing but quoted blanks is NULL rather than missing.
     typed = texts.select(
         *kept,
         "_raw",
@@ -52,11 +55,13 @@ def read_delimited(
         *[F.col(f"_t{f.index}") for f in specs],
         *[cast_field(F.col(f"_t{f.index}"), f.type).alias(f"_v{f.index}") for f in specs],
     )
-    checked = typed.select(
-        *kept,
-        "_raw",
-        *[F.col(f"_v{f.index}") for f in specs],
-        _first_error(specs).alias("_error"),
+    checked = computed_once(
+        typed.select(
+            *kept,
+            "_raw",
+            *[F.col(f"_v{f.index}") for f in specs],
+            _first_error(specs).alias("_error"),
+        )
     )
 
     def column(f: FieldSpec) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions.casts import cast_field, cast_float, parse_epoch
 from ..functions.maps import last_wins_map, map_of, overlay
+from ..functions.once import computed_once
 from ..functions.text import NON_SPACE, strip, value_text
 from ..specs import FIELD_TYPES
 from .lines import stamp_origin
@@ -84,23 +85,23 @@ def read_graphite(
     numbers = F.create_map().cast(_NUMBERS)
 
     if types:
-        names = {n: f"_a{i}" for i, n in enumerate(sorted(types))}
+        declared = {n: f"_a{i}" for i, n in enumerate(sorted(types))}
         typed = pairs.select(
-            "*", *[cast_field(F.try_element_at("attrs", F.lit(n)), types[n]).alias(c) for n, c in names.items()]
+            "*", *[cast_field(F.try_element_at("attrs", F.lit(n)), types[n]).alias(c) for n, c in declared.items()]
         )
-        measured = {n: cast_float(F.col(c), _PARSED[types[n]]) for n, c in names.items()}
+        measured = {n: cast_float(F.col(c), _PARSED[types[n]]) for n, c in declared.items()}
         measured = {n: m for n, m in measured.items() if m is not None}
-        for n, c in names.items():
+        for n, c in declared.items():
             if types[n] not in ("null", "string"):
                 given = F.map_contains_key("attrs", F.lit(n))
                 error = error.when(given & F.col(c).isNull(), F.lit(f"attribute {n} is not a valid {types[n]}"))
-        shown = {n: value_text(F.col(c), _PARSED[types[n]]) for n, c in names.items()}
+        shown = {n: value_text(F.col(c), _PARSED[types[n]]) for n, c in declared.items()}
         attrs = overlay(attrs, map_of(shown))
         if measured:
             full = F.create_map(*[x for n, m in measured.items() for x in (F.lit(n), m)])
             numbers = F.map_filter(full, lambda _, v: v.isNotNull())
         if types.get("timestamp") == "datetime":
-            ts = F.coalesce(F.col(names["timestamp"]), ts)
+            ts = F.coalesce(F.col(declared["timestamp"]), ts)
     else:
         typed = pairs
 
@@ -115,17 +116,16 @@ def read_graphite(
     value = F.coalesce(same_name, value)
 
     ok = F.col("_error").isNull()
-    rows = (
-        typed.withColumn("_error", error)
-        .select(
-            *kept,
-            F.when(ok, F.col("metric")).alias("metric"),
-            F.when(ok, value).alias("value"),
-            F.when(ok, ts).alias("ts"),
-            F.when(ok, attrs).alias("attrs"),
-            F.when(ok, numbers).alias("numbers"),
-            "_raw",
-            "_error",
-        )
+    parsed = typed.select(
+        *kept,
+        "metric",
+        value.alias("value"),
+        ts.alias("ts"),
+        attrs.alias("attrs"),
+        numbers.alias("numbers"),
+        "_raw",
+        error.alias("_error"),
     )
+    names = ("metric", "value", "ts", "attrs", "numbers")
+    rows = computed_once(parsed).select(*kept, *[F.when(ok, F.col(n)).alias(n) for n in names], "_raw", "_error")
     return stamp_origin(rows, inbound)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.once import computed_once
 from .lines import stamp_origin
 
 
@@ -43,13 +44,10 @@ def read_json_records(
         .when(record["_corrupt"].isNotNull() | bad_long, F.lit("does not fit the schema"))
     )
     ok = F.col("_error").isNull()
-    rows = parsed.withColumn("_error", error).select(
-        *kept,
-        *[F.when(ok, longs.get(f.name, record[f.name])).alias(f.name) for f in schema],
-        F.when(ok, F.col("_type")).alias("_type"),
-        "_raw",
-        "_error",
-    )
+    fields = [longs.get(f.name, record[f.name]).alias(f.name) for f in schema]
+    typed = computed_once(parsed.select(*kept, *fields, "_type", "_raw", error.alias("_error")))
+    names = [*schema.fieldNames(), "_type"]
+    rows = typed.select(*kept, *[F.when(ok, F.col(f"`{n}`")).alias(n) for n in names], "_raw", "_error")
     return stamp_origin(rows, inbound)
 
 
