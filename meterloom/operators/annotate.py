@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..functions.maps import overlay, without_keys
 from ..functions.ranges import cut_points, lookup, range_index
 from ..functions.text import epoch_micros
+from ..scratch import written
 
 # The actions and what they edit.
 ADD_ACTIONS = ("set", "unset")
@@ -260,16 +261,20 @@ def _bins(snaps: Snapshots) -> DataFrame:
 
 
 def _state_by_instant(times: DataFrame, snaps: Snapshots, rows_per_range: int) -> DataFrame:
-    """``_us, _add, _drop`` for every distinct sample instant that has a state."""
+    """``_us, _add, _drop`` for every distinct sample instant that has a state.
+
+    The snapshots and the merged instants are read several times below, so each is written to a
+    scratch table once.
+    """
+    states = written(snaps.rows, "snapshots")
+    marks = states.select(F.col("lo").alias("_us"), F.col("lo"))
+    # Instants that leave an empty state have no snapshot, but they end one all the same.
+    ends = states.select(F.col("hi").alias("_us"), F.col("hi").alias("lo")).where(F.col("hi").isNotNull())
+    marks = marks.union(ends.join(marks.select("_us"), "_us", "left_anti"))
     times = times.where(F.col("_us") > snaps.first).distinct()
-    points = times.select("_us", F.lit(None).cast("bigint").alias("lo")).union(
-        snaps.rows.select("lo", "lo")
-    )
-    # Instants whose state is empty end a state as well.
-    ends = snaps.rows.select(F.col("hi").alias("_us"), F.col("hi").alias("lo")).where("_us is not null")
-    points = points.union(ends.join(snaps.rows.select(F.col("lo").alias("_us")), "_us", "left_anti"))
-    rows = points.count()
-    cuts = cut_points(points, "_us", rows, rows_per_range)
+    points = written(times.select("_us", F.lit(None).cast("bigint").alias("lo")).union(marks), "instants")
+
+    cuts = cut_points(points, "_us", points.count(), rows_per_range)
     points = points.withColumn("part", range_index(F.col("_us"), cuts))
     # At one instant the sample comes first: an action takes effect only after its own time.
     order = Window.partitionBy("part").orderBy("_us", F.col("lo").isNotNull())
@@ -286,4 +291,4 @@ def _state_by_instant(times: DataFrame, snaps: Snapshots, rows_per_range: int) -
         .where(F.col("lo").isNull() & F.col("at").isNotNull())
         .select("_us", F.col("at").alias("lo"))
     )
-    return resolved.join(snaps.rows, "lo").select("_us", F.col("add").alias("_add"), F.col("drop").alias("_drop"))
+    return resolved.join(states, "lo").select("_us", F.col("add").alias("_add"), F.col("drop").alias("_drop"))

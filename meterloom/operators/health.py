@@ -46,10 +46,9 @@ def latency_figures(counts: DataFrame) -> DataFrame:
         position = F.call_function("div", F.col("n") * num, F.lit(den))
         return F.min(F.when(F.col("upto") > position, F.col("ms")))
 
-    mean_us = F.sum("us") / F.sum("c").cast("decimal(20,0)")
     return placed.groupBy("key", "window_start").agg(
         F.sum("c").alias("count"),
-        F.floor(mean_us / 1000).cast("bigint").alias("mean_ms"),
+        F.call_function("div", F.sum("us"), F.sum("c") * 1000).alias("mean_ms"),
         F.min("ms").alias("min_ms"),
         F.max("ms").alias("max_ms"),
         *[at(*q).alias(f"{name}_ms") for name, q in QUANTILES.items()],
