@@ -10,11 +10,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .once import out_of_line
 from .text import NON_SPACE, SPACE, is_number_struct, rfc3339_text, strip, value_text
 
-# Number grammar.
-INT_RE = r"[+-]?[0-9]+"
-FLOAT_RE = r"[+-]?(?:(?i:inf|infinity|nan)|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
+# Number grammar. The plain forms need one match; anything rarer takes a second one.
+PLAIN = {
+    "int": r"^[+-]?[0-9]+\z",
+    "float": r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z",
+}
+WITH_UNIT = {
+    "int": rf"^([+-]?[0-9]+){SPACE}+({NON_SPACE}+)\z",
+    "float": (
+        r"^([+-]?(?:(?i:infinity|inf|nan)|(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
+        rf"(?:{SPACE}+({NON_SPACE}+))?\z"
+    ),
+}
 
 # The words a boolean may be spelled with, compared in lower case.
 TRUE_WORDS = ("true", "t", "yes", "y", "on", "active", "1")
@@ -27,16 +37,17 @@ GRAPHITE_EPOCHS = {10: 1_000_000, 13: 1_000, 16: 1, 19: None}
 # Datetime shapes. Groups are (date parts), time, fraction, zone.
 _TIME = r"([0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:\.[0-9]+)?)"
 _ZONE = r"\s*([+-][0-9]{2})[:\s]*([0-9]{2})"
-RFC3339_RE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)([Zz]|[+-][0-9]{2}:[0-9]{2})$"
-YMD_RE = r"^([0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})\s*" + _TIME + "$"
-YMD_T_RE = r"^([0-9]{4})(-)([0-9]{1,2})-([0-9]{1,2})T" + _TIME + r"(?:\s*[+-][0-9]{2}[:\s]*[0-9]{2})?$"
-DMY_RE = r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})\s*" + _TIME + "$"
-YMD_ZONE_RE = r"^([0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})\s*" + _TIME + _ZONE + "$"
-DMY_ZONE_RE = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\s*" + _TIME + _ZONE + "$"
+RFC3339_RE = r"^([0-9]{4}-[0-9]{2}-[0-9]{2})[Tt ]([0-9]{2}:[0-9]{2}:[0-9]{2}(?:\.[0-9]+)?)([Zz]|[+-][0-9]{2}:[0-9]{2})\z"
+YMD_PLAIN_RE = r"^[0-9]{4}([/-])[0-9]{1,2}\1[0-9]{1,2} " + _TIME + r"\z"
+YMD_RE = r"^([0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})\s*" + _TIME + r"\z"
+YMD_T_RE = r"^([0-9]{4})(-)([0-9]{1,2})-([0-9]{1,2})T" + _TIME + r"(?:\s*[+-][0-9]{2}[:\s]*[0-9]{2})?\z"
+DMY_RE = r"^([0-9]{1,2})([/-])([0-9]{1,2})\2([0-9]{4})\s*" + _TIME + r"\z"
+YMD_ZONE_RE = r"^([0-9]{4})([/-])([0-9]{1,2})\2([0-9]{1,2})\s*" + _TIME + _ZONE + r"\z"
+DMY_ZONE_RE = r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4})\s*" + _TIME + _ZONE + r"\z"
 RFC2822_RE = (
     r"^(?:(?i:(Mon|Tue|Wed|Thu|Fri|Sat|Sun))\s*,)?\s*([0-9]{1,2})\s+"
     r"(?i:(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec))\s+([0-9]{4})\s+"
-    r"([0-9]{2}:[0-9]{2}(?::[0-9]{2})?)\s+([+-][0-9]{4}|[A-Za-z]{1,3})$"
+    r"([0-9]{2}:[0-9]{2}(?::[0-9]{2})?)\s+([+-][0-9]{4}|[A-Za-z]{1,3})\z"
 )
 
 # Named zones of RFC 2822; single letters other than J count as UTC.
@@ -53,21 +64,29 @@ NUMBER_FLOAT = T.StructType([T.StructField("value", T.DoubleType()), T.StructFie
 
 
 def parse_number(c: Column, kind: str) -> Column:
-    """``N`` or ``N unit`` as ``struct<value, unit>``; kind is ``int`` or ``float``."""
+    """``N`` or ``N unit`` as ``struct<value, unit>``; kind is ``int`` or ``float``.
+
+    Text that does not parse gives a NULL struct, a number out of range one with a NULL value.
+    """
     return _number(strip(c), kind)
 
 
 def _number(text: Column, kind: str) -> Column:
-    grammar, sql_type = (INT_RE, "bigint") if kind == "int" else (FLOAT_RE, "double")
-    with_unit = rf"^({grammar}){SPACE}+({NON_SPACE}+)$"
-    bare = text.rlike(rf"^{grammar}$") & ~text.contains("\n")
-    number = F.when(bare, text).when(text.rlike(with_unit), F.regexp_extract(text, with_unit, 1))
-    if kind == "float":
+    sql_type, full = {"int": "bigint", "float": "double"}[kind], WITH_UNIT[kind]
+
+    def rarer(x: Column) -> Column:
         # Spark reads "nan" but not a signed one.
-        number = F.when(F.lower(F.right(number, F.lit(3))) == "nan", F.lit("nan")).otherwise(number)
-    value = number.try_cast(sql_type)
-    unit = F.when(~bare, F.regexp_extract(text, with_unit, 2))
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), unit.alias("unit")))
+        number = F.regexp_replace(F.regexp_extract(x, full, 1), "^[+-](?=[nN])", "")
+        unit = F.nullif(F.regexp_extract(x, full, 2), F.lit(""))
+        return F.when(x.rlike(full), F.struct(number.try_cast(sql_type).alias("value"), unit.alias("unit")))
+
+    plain = F.struct(text.try_cast(sql_type).alias("value"), F.lit(None).cast("string").alias("unit"))
+    return F.when(text.rlike(PLAIN[kind]), plain).otherwise(out_of_line(text, rarer))
+
+
+def is_missing(c: Column, kind: str) -> Column:
+    """Whether a value that :func:`cast_field` gave stands for nothing."""
+    return c["value"].isNull() if kind in ("int", "float") else c.isNull()
 
 
 def parse_bool(c: Column) -> Column:
@@ -93,7 +112,7 @@ def _epoch(text: Column, widths: dict[int, int | None]) -> Column:
 
 def parse_epoch(c: Column) -> Column:
     """Digits of a Graphite line: 10, 13, 16 or 19 of them are s, ms, us or ns."""
-    return F.when(c.rlike("^[0-9]+$"), _epoch(c, GRAPHITE_EPOCHS))
+    return F.when(c.rlike(r"^[0-9]+\z"), _epoch(c, GRAPHITE_EPOCHS))
 
 
 def parse_datetime(c: Column) -> Column:
@@ -105,14 +124,20 @@ def parse_datetime(c: Column) -> Column:
     return _datetime(strip(c))
 
 
-def _datetime(x: Column) -> Column:
+def _datetime(text: Column) -> Column:
+    # The commonest shape needs one match, then a cast that reads it as it is.
+    plain = F.translate(text, "/", "-").try_cast("timestamp")
+    return F.when(text.rlike(YMD_PLAIN_RE), plain).otherwise(out_of_line(text, _rarer_datetime))
+
+
+def _rarer_datetime(x: Column) -> Column:
     def moment(pattern: str, template: str) -> Column:
         return F.regexp_replace(x, pattern, template).try_cast("timestamp")
 
     dmy, mdy = moment(DMY_RE, "$4-$3-$1 $5"), moment(DMY_RE, "$4-$1-$3 $5")
     dmy_z, mdy_z = moment(DMY_ZONE_RE, "$3-$2-$1 $4$5:$6"), moment(DMY_ZONE_RE, "$3-$1-$2 $4$5:$6")
     return (
-        F.when(x.rlike(r"^[+-]?[0-9]+$"), _epoch(x, DATETIME_EPOCHS))
+        F.when(x.rlike(r"^[+-]?[0-9]+\z"), _epoch(x, DATETIME_EPOCHS))
         .when(x.rlike(YMD_RE), moment(YMD_RE, "$1-$3-$4 $5"))
         .when(x.rlike(RFC3339_RE), F.upper(x).try_cast("timestamp"))
         .when(x.rlike(YMD_T_RE), moment(YMD_T_RE, "$1-$3-$4 $5"))

@@ -1,8 +1,10 @@
-"""Keep parsed columns from being computed again by later filters."""
+"""Steering what the optimizer and the code generator do with parse expressions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +16,12 @@ def computed_once(df: DataFrame) -> DataFrame:
     whose output the filter reads. Narrow, and part of the same generated code.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
+def out_of_line(c: Column, parse: Callable[[Column], Column]) -> Column:
+    """``parse(c)``, evaluated outside the generated code.
+
+    For the rare branches of a parse. The JVM does not compile methods above 8000 bytes, so a
+    projection that spells out every rare form runs its common forms interpreted as well.
+    """
+    return F.get(F.transform(F.array(c), parse), F.lit(0))

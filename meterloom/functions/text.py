@@ -17,8 +17,15 @@ SPACE_CHARS = (
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode white space from both ends."""
-    return F.trim(c, F.lit(SPACE_CHARS))
+    """Trim Unicode white space from both ends.
+
+    Text that starts and ends with a visible Latin character after trimming plain blanks, as nearly
+    all does, is spared the search through the whole set.
+    """
+    t = F.trim(c)
+    first, last = F.ascii(t), F.ascii(F.substring(t, -1, 1))
+    visible = (first > 32) & (first < 127) & (last > 32) & (last < 127)
+    return F.when(visible, t).otherwise(F.trim(c, F.lit(SPACE_CHARS)))
 
 
 def split_delimited(line: Column, sep: str = ",") -> Column:
@@ -44,11 +51,13 @@ def split_delimited(line: Column, sep: str = ",") -> Column:
 
 
 def token(tokens: Column, index: int) -> Column:
-    """Token ``index`` without its quotes, or trimmed; NULL past the end."""
+    """Token ``index`` without its quotes and outer blanks; NULL past the end."""
     t = F.get(tokens, F.lit(index))
-    return F.when(
-        t.startswith('"') & t.endswith('"') & (F.length(t) >= 2), F.substr(t, F.lit(2), F.length(t) - 2)
-    ).otherwise(strip(t))
+    return strip(F.when(is_quoted(t), F.substr(t, F.lit(2), F.length(t) - 2)).otherwise(t))
+
+
+def is_quoted(t: Column) -> Column:
+    return t.startswith('"') & t.endswith('"') & (F.length(t) >= 2)
 
 
 def double_text(c: Column) -> Column:

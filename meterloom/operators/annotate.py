@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maps import overlay, without_keys
+from ..functions.maps import without_keys
 from ..functions.ranges import cut_points, lookup, range_index
 from ..functions.text import epoch_micros
 from ..scratch import written
@@ -43,9 +43,10 @@ ROWS_PER_RANGE = 1_000_000
 class Snapshots:
     """Label state after each control instant.
 
-    ``rows``: ``rank, lo, hi, add map<string,string>, drop array<string>``; the state holds for
-    ``lo < t <= hi`` in microseconds, ``hi`` NULL at the end. Instants with an empty state are
-    left out. ``first``/``last`` are the outermost control instants.
+    ``rows``: ``rank, lo, hi, add map<string,string>, hide array<string>``; the state holds for
+    ``lo < t <= hi`` in microseconds, ``hi`` NULL at the end. ``add`` are the labels to set,
+    without dropped ones; ``hide`` are all names the state decides on. Instants with an empty
+    state are left out. ``first``/``last`` are the outermost control instants.
     """
 
     rows: DataFrame
@@ -116,17 +117,20 @@ def label_snapshots(control: DataFrame, *, rows_per_range: int = ROWS_PER_RANGE)
         ).alias("until_us"),
     )
     spans = _spans(edits, timeline, cuts, base, seen["n"])
+    added = F.map_from_entries(F.collect_list(F.when(F.col("adds"), F.struct(F.col("name"), F.col("value")))))
     rows = (
         spans.groupBy("rank")
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("adds"), F.struct(F.col("name"), F.col("value"))))
-            ).alias("add"),
-            F.collect_list(F.when(~F.col("adds"), F.col("name"))).alias("drop"),
-        )
+        .agg(added.alias("set"), F.collect_list(F.when(~F.col("adds"), F.col("name"))).alias("drop"))
         .join(timeline.select("rank", F.col("us").alias("lo"), "hi"), "rank")
+        .select(
+            "rank",
+            "lo",
+            "hi",
+            without_keys(F.col("set"), F.col("drop")).alias("add"),
+            F.array_union(F.map_keys("set"), "drop").alias("hide"),
+        )
     )
-    return Snapshots(rows.select("rank", "lo", "hi", "add", "drop"), seen["n"], seen["lo"], seen["hi"])
+    return Snapshots(rows, seen["n"], seen["lo"], seen["hi"])
 
 
 def _per_part(instants: DataFrame, parts: int) -> dict[str, list]:
@@ -227,13 +231,15 @@ def annotate(
     else:
         state = _state_by_instant(data.select(instant.alias("_us")), snaps, rows_per_range)
         found = data.withColumn("_us", instant).join(state, "_us", "left")
-    edited = without_keys(overlay(F.col(labels), F.col("_add")), F.col("_drop"))
+    # What a row keeps of its own, then what the state adds: the row's few labels are all that is
+    # looked at here, since the snapshot says ready-made which names it decides on.
+    edited = F.map_concat(without_keys(F.col(labels), F.col("_hide")), F.col("_add"))
     new_labels = F.when(F.col("_add").isNull(), F.col(labels)).otherwise(edited)
     return found.select(*[new_labels.alias(c) if c == labels else F.col(f"`{c}`") for c in data.columns])
 
 
 def _row_bytes() -> Column:
-    texts = F.concat(F.map_keys("_add"), F.map_values("_add"), F.col("_drop"))
+    texts = F.concat(F.map_keys("_add"), F.map_values("_add"), F.col("_hide"))
     return F.aggregate(texts, F.lit(64).cast("bigint"), lambda n, s: n + F.octet_length(s) + 16)
 
 
@@ -255,13 +261,13 @@ def _bins(snaps: Snapshots) -> DataFrame:
         lo.alias("_lo"),
         hi.alias("_hi"),
         F.col("add").alias("_add"),
-        F.col("drop").alias("_drop"),
+        F.col("hide").alias("_hide"),
         F.explode(F.sequence(_bin_of(lo + 1, snaps), _bin_of(hi, snaps))).alias("_bin"),
     )
 
 
 def _state_by_instant(times: DataFrame, snaps: Snapshots, rows_per_range: int) -> DataFrame:
-    """``_us, _add, _drop`` for every distinct sample instant that has a state.
+    """``_us, _add, _hide`` for every distinct sample instant that has a state.
 
     The snapshots and the merged instants are read several times below, so each is written to a
     scratch table once.
@@ -291,4 +297,4 @@ def _state_by_instant(times: DataFrame, snaps: Snapshots, rows_per_range: int) -
         .where(F.col("lo").isNull() & F.col("at").isNotNull())
         .select("_us", F.col("at").alias("lo"))
     )
-    return resolved.join(states, "lo").select("_us", F.col("add").alias("_add"), F.col("drop").alias("_drop"))
+    return resolved.join(states, "lo").select("_us", F.col("add").alias("_add"), F.col("hide").alias("_hide"))

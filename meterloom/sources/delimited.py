@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.casts import cast_field
+from ..functions.casts import cast_field, is_missing
 from ..functions.once import computed_once
 from ..functions.text import split_delimited, strip, token
 from ..specs import FieldSpec, check_fields
@@ -43,17 +43,11 @@ def read_delimited(
     texts = tokens.select(
         *kept,
         "_raw",
-        F.size("_tokens").alias("_n"),
+        "_tokens",
         *[token(F.col("_tokens"), f.index).alias(f"_t{f.index}") for f in specs],
     )
-    # Quoted text may still have blanks at its ends. They do not count, except that a required
-    # field of nothing but quoted blanks is NULL rather than missing.
     typed = texts.select(
-        *kept,
-        "_raw",
-        "_n",
-        *[F.col(f"_t{f.index}") for f in specs],
-        *[cast_field(F.col(f"_t{f.index}"), f.type).alias(f"_v{f.index}") for f in specs],
+        "*", *[cast_field(F.col(f"_t{f.index}"), f.type, stripped=True).alias(f"_v{f.index}") for f in specs]
     )
     checked = computed_once(
         typed.select(
@@ -77,15 +71,18 @@ def read_delimited(
 def _first_error(specs: tuple[FieldSpec, ...]) -> Column:
     needed = max((f.index for f in specs if not f.optional), default=0) + 1
     allowed = max(f.index for f in specs) + 1
-    error = F.when(F.col("_n") < needed, F.format_string(f"too few fields: %d, need {needed}", F.col("_n"))).when(
-        F.col("_n") > allowed, F.format_string(f"too many fields: %d, allowed {allowed}", F.col("_n"))
+    n = F.size("_tokens")
+    error = F.when(n < needed, F.format_string(f"too few fields: %d, need {needed}", n)).when(
+        n > allowed, F.format_string(f"too many fields: %d, allowed {allowed}", n)
     )
     for f in specs:
         if not f.optional:
-            error = error.when(F.col(f"_t{f.index}") == "", F.lit(f"required field {f.name} is empty"))
+            # Blanks between quotes are a NULL rather than a missing field.
+            blank = F.get("_tokens", F.lit(f.index)).rlike('^"[^"]+"')
+            missing = (F.col(f"_t{f.index}") == "") & ~blank
+            error = error.when(missing, F.lit(f"required field {f.name} is empty"))
     for f in specs:
-        if f.type in ("null", "string"):
-            continue
-        bad = F.col(f"_v{f.index}").isNull() & (strip(F.col(f"_t{f.index}")) != "")
-        error = error.when(bad, F.lit(f"field {f.name} is not a valid {f.type}"))
+        if f.type not in ("null", "string"):
+            bad = is_missing(F.col(f"_v{f.index}"), f.type) & (F.col(f"_t{f.index}") != "")
+            error = error.when(bad, F.lit(f"field {f.name} is not a valid {f.type}"))
     return error

@@ -8,19 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.casts import cast_field, cast_float, parse_epoch
+from ..functions.casts import cast_field, cast_float, is_missing, parse_epoch
 from ..functions.maps import last_wins_map, map_of, overlay
 from ..functions.once import computed_once
-from ..functions.text import NON_SPACE, strip, value_text
+from ..functions.text import NON_SPACE, SPACE, strip, value_text
 from ..specs import FIELD_TYPES
 from .lines import stamp_origin
 
 # The shape of a line. Blanks between parts are spaces or tabs.
-_BLANK = r"[ \t]+"
-_FLOAT = r"(?:(?i:nan|infinity|inf)|[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)"
-_KEY = r"[^=\s\x85\p{Z}]+"
-LINE_RE = rf"^({NON_SPACE}+){_BLANK}({_FLOAT}){_BLANK}([0-9]+)((?:{_BLANK}{_KEY}={NON_SPACE}+)*)"
-PAIR_RE = rf"({_KEY})=({NON_SPACE}+)"
+BLANK = r"[ \t]+"
+FLOAT_RE = r"^(?:[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?|(?i:nan|infinity|inf))\z"
+# Each match starts where the one before ended, so the list stops at the first malformed piece.
+PAIR_RE = rf"\G[ \t]*([^=\s\x85\p{{Z}}]+)=({NON_SPACE}+)"
 
 _NUMBERS = "map<string,struct<value:double,unit:string>>"
 # What each declared type is once parsed.
@@ -55,19 +54,24 @@ def read_graphite(
         raise ValueError(f"unknown attribute types: {unknown}")
     kept = [F.col(f"`{c}`") for c in lines.columns if c != line]
 
-    heads = lines.where(strip(F.col(line)) != "").select(
+    part = F.split(F.col(line), BLANK, 4)
+    heads = lines.where(strip(F.col(line)) != "").select(*kept, F.col(line).alias("_raw"), part.alias("_p"))
+    part = [F.get("_p", F.lit(i)) for i in range(4)]
+    split = heads.select(
         *kept,
-        F.col(line).alias("_raw"),
-        F.regexp_extract(line, LINE_RE, 1).alias("metric"),
-        F.regexp_extract(line, LINE_RE, 2).alias("_value"),
-        F.regexp_extract(line, LINE_RE, 3).alias("_epoch"),
-        F.regexp_extract(line, LINE_RE, 4).alias("_attrs"),
+        "_raw",
+        part[0].alias("metric"),
+        F.when(part[1].rlike(FLOAT_RE), part[1]).try_cast("double").alias("value"),
+        F.regexp_extract(part[2], "^[0-9]+", 0).alias("_epoch"),
+        # Text right after the epoch leaves no room for attributes.
+        F.when(part[2].rlike(r"^[0-9]+\z"), F.coalesce(part[3], F.lit(""))).otherwise(F.lit("")).alias("_attrs"),
     )
-    pairs = heads.select(
+    pairs = split.select(
         *kept,
         "_raw",
         "metric",
-        F.col("_value").try_cast("double").alias("value"),
+        "value",
+        "_epoch",
         parse_epoch(F.col("_epoch")).alias("ts"),
         F.when(F.col("_attrs") == "", F.create_map().cast("map<string,string>"))
         .otherwise(
@@ -78,7 +82,8 @@ def read_graphite(
         )
         .alias("attrs"),
     )
-    error = F.when(F.col("metric") == "", F.lit("not a metric line")).when(
+    no_line = (F.col("metric") == "") | F.col("metric").rlike(SPACE) | F.col("value").isNull()
+    error = F.when(no_line | F.coalesce(F.col("_epoch") == "", F.lit(True)), F.lit("not a metric line")).when(
         F.col("ts").isNull(), F.lit("epoch is not 10, 13, 16 or 19 digits")
     )
     attrs, value, ts = F.col("attrs"), F.col("value"), F.col("ts")
@@ -94,7 +99,7 @@ def read_graphite(
         for n, c in declared.items():
             if types[n] not in ("null", "string"):
                 given = F.map_contains_key("attrs", F.lit(n))
-                error = error.when(given & F.col(c).isNull(), F.lit(f"attribute {n} is not a valid {types[n]}"))
+                error = error.when(given & is_missing(F.col(c), types[n]), F.lit(f"attribute {n} is not a valid {types[n]}"))
         shown = {n: value_text(F.col(c), _PARSED[types[n]]) for n, c in declared.items()}
         attrs = overlay(attrs, map_of(shown))
         if measured:

@@ -18,7 +18,7 @@ def apply(spark, values, fn, typ="string"):
 def test_numbers_with_units(spark):
     texts = ["42", "+5", "-7", "42 W", " 42\tW ", "42 W x", "4.2", "abc", "", "9223372036854775808", "0x1F"]
     got = apply(spark, texts, lambda c: casts.parse_number(c, "int"))
-    assert [(r.value, r.unit) if r else None for r in got] == [
+    assert [(r.value, r.unit) if r and r.value is not None else None for r in got] == [
         (42, None), (5, None), (-7, None), (42, "W"), (42, "W"), None, None, None, None, None, None,
     ]
 
