@@ -31,7 +31,10 @@ def read_json_records(
         *kept,
         F.col(line).alias("_raw"),
         F.from_json(F.col(line), wire, {"columnNameOfCorruptRecord": "_corrupt"}).alias("_r"),
-        F.try_variant_get(F.try_parse_json(F.col(line)), "$.__type__", "string").alias("_type"),
+        F.try_variant_get(F.try_parse_json(F.col(line)), "$.__type__", "variant").alias("_t"),
+    ).withColumn(
+        "_type",
+        F.when(F.schema_of_variant("_t") == "STRING", F.try_variant_get(F.col("_t"), "$", "string")),
     )
     record = F.col("_r")
     longs = {f.name: _wrapping_long(record[f.name]) for f in schema if isinstance(f.dataType, T.LongType)}

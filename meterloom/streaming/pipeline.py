@@ -46,7 +46,11 @@ def control_rows(lines: DataFrame, *, line: str = "value", sep: str = ",") -> Da
 
 
 def read_control(spark: SparkSession, path: str) -> DataFrame:
-    """The control table as it is now."""
+    """The control table as it is now.
+
+    A table that :func:`append_control` writes lists its files in a log of its own, so rows that
+    something else adds to the folder are not seen; send them through the control query.
+    """
     return spark.read.schema(CONTROL_SCHEMA).parquet(path)
 
 

@@ -242,8 +242,7 @@ def test_rows_are_taken_whole_or_not_at_all(spark):
     assert [r["_error"] for r in sample_errors(df, spec).collect()] == [
         None, "field note is not a number", "no value field", "no timestamp", None,
     ]
-    assert samples_of(to_samples(df, spec)) == [("x", "gauge", 1.0, (("host", "a"),)), ("x", "gauge", 3.0, ())] or True
-    assert sorted(r.value for r in to_samples(df, spec).collect()) == [1.0, 3.0]
+    assert samples_of(to_samples(df, spec)) == [("x", "gauge", 1.0, (("host", "a"),)), ("x", "gauge", 3.0, ())]
 
 
 def test_bad_column_names_reject_only_rows_that_have_them(spark):
@@ -275,7 +274,7 @@ def test_json_records(spark):
         ),
         "name string, age bigint, score double, `__custom__` string",
     ).orderBy("i").collect()
-    assert [(r.name, r.age, r["_type"]) for r in rows[:3]] == [("test", 30, "Person"), ("big", -1, None), ("odd", None, None)] or rows
+    assert [(r.name, r.age, r["_type"]) for r in rows[:3]] == [("test", 30, "Person"), ("big", -1, None), ("odd", None, None)]
     assert rows[1].score == float("inf") and rows[1]["__custom__"] == "x"
     assert [r["_error"] for r in rows] == [None, None, None] + ["not a JSON object"] * 2 + ["does not fit the schema"] * 2
 
