@@ -1,0 +1,30 @@
+"""Intermediate tables in the shared folder, and their removal when they are read no more."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..scratch import scratch_folder
+
+
+class Scratch:
+    """Tables of one run of an operator. ``keep`` computes a table once; ``drop`` removes it."""
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose = spark, purpose
+        self.folders: dict[int, str] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        folder = scratch_folder(self.spark, self.purpose)
+        df.write.parquet(folder)
+        table = self.spark.read.schema(df.schema).parquet(folder)
+        self.folders[id(table)] = folder
+        table._scratch_folder = folder
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that no result still to be computed reads."""
+        jvm = self.spark._jvm
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table._scratch_folder)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
