@@ -1,3 +1,19 @@
 """SQL for those queries of this package that SQL can express."""
 
-ORACLES: dict[str, str] = {}
+OP5 = """
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines FROM documents),
+p AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos FROM d),
+l AS (SELECT doc_id, pos, lines[pos] AS line,
+             CASE WHEN pos + 2 <= len(lines) THEN lines[pos] || chr(10) || lines[pos + 1] || chr(10) || lines[pos + 2] END AS passage
+      FROM p),
+r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) AS nth FROM l WHERE passage IS NOT NULL),
+gone AS (SELECT DISTINCT doc_id, pos + k AS pos FROM r, (VALUES (0), (1), (2)) AS o(k) WHERE nth > 1),
+s AS (SELECT l.doc_id, string_agg(CASE WHEN g.pos IS NULL THEN line END, chr(10) ORDER BY l.pos) AS text,
+             count(*) AS n_lines, count(g.pos) AS n_removed
+      FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') END AS text,
+       coalesce(s.n_lines, 0) AS n_lines, coalesce(s.n_removed, 0) AS n_removed
+FROM d LEFT JOIN s ON d.doc_id = s.doc_id
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5}
