@@ -15,6 +15,8 @@ from .text_hash import distinct_in_texts, mixed, shingle_hashes, small_slices, w
 
 #: Bands and values a band. A pair of similarity 0.8 shares no band with a chance of 1.3e-7.
 BANDS, ROWS = 40, 5
+#: Slots in which shingles are counted, and bits (a prime) of the map of documents whose sets are wanted.
+SLOTS, MARKS = 1 << 18, 16_777_213
 #: Shingles hashed at a time under all permutations.
 _BLOCK = 1 << 15
 
@@ -58,33 +60,93 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys.view(np.int64)
 
 
-def sketches(docs: DataFrame, shingle: int, bands: int, rows: int, only_sets: bool = False) -> DataFrame:
-    """Per row: ``doc_id, n_shingles``, the set's fingerprint ``f1, f2`` and its ``bands``, or the ``elements``."""
+def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
+    """Per row ``doc_id, n_shingles``, the set's fingerprint ``f1, f2`` and its ``bands``."""
     permutations = (bands * rows + 1) // 2
-    fields = "doc_id bigint, n_shingles bigint, " + ("elements binary" if only_sets else "f1 bigint, f2 bigint, bands array<bigint>")
-    names = [f.strip().split(" ")[0] for f in fields.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in small_slices(batch, "text"):
                 sets, bounds = distinct_in_texts(*shingle_hashes(*word_hashes(part.column("text")), shingle))
-                size = np.diff(bounds)
-                out = [part.column("doc_id"), pa.array(size)]
-                if only_sets:
-                    data = pa.py_buffer(sets.tobytes())
-                    offsets = pa.py_buffer((bounds * 8).astype(np.int32).tobytes())
-                    out.append(pa.Array.from_buffers(pa.binary(), len(size), [None, offsets, data]))
-                else:
-                    for constant in (1, 2):
-                        with np.errstate(over="ignore"):
-                            sums = np.append(np.uint64(0), np.cumsum(mixed(sets ^ mixed(np.full(1, constant, np.uint64)))))
-                            out.append(pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)))
-                    keys = band_keys(signatures(sets, bounds, permutations), bands, rows)
-                    flat = pa.array(keys.ravel())
-                    out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), flat))
-                yield pa.RecordBatch.from_arrays(out, names=names)
-
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+                out = [part.column("doc_id"), pa.array(np.diff(bounds))]
+                for constant in (1, 2):
+                    with np.errstate(over="ignore"):
+                        sums = np.append(np.uint64(0), np.cumsum(mixed(sets ^ mixed(np.full(1, constant, np.uint64)))))
+                        out.append(pa.array((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64)))
+                keys = band_keys(signatures(sets, bounds, permutations), bands, rows)
+                out.append(pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * bands), pa.array(keys.ravel())))
+                yield pa.RecordBatch.from_arrays(out, names=["doc_id", "n_shingles", "f1", "f2", "bands"])
+
+    return _text(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, f1 bigint, f2 bigint, bands array<bigint>")
+
+
+def _text(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """``doc_id, n_shingles, elements`` (sorted 64-bit hashes) of the wanted documents (``doc_id, n_shingles``).
+
+    A bitmap of fixed size (``MARKS`` bits, by remainder of doc_id) goes to every task, so that of most other
+    documents no set is made or moved; a join leaves out the rest.
+    """
+    slot = F.pmod("doc_id", F.lit(MARKS))
+    words = wanted.select((slot / 32).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(slot, F.lit(32)).cast("int")).alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    marks = np.zeros(MARKS // 32 + 1, np.uint32)
+    marks[found["word"].to_numpy()] = found["bits"].to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("doc_id").to_numpy(zero_copy_only=False) % MARKS
+            marked = shared.value[at // 32] >> (at % 32).astype(np.uint32) & 1
+            for part in small_slices(batch.filter(pa.array(marked.astype(bool))), "text"):
+                sets, bounds = distinct_in_texts(*shingle_hashes(*word_hashes(part.column("text")), shingle))
+                offsets = pa.py_buffer((bounds * 8).astype(np.int32).tobytes())
+                elements = pa.Array.from_buffers(pa.binary(), part.num_rows, [None, offsets, pa.py_buffer(sets.tobytes())])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(bounds)), elements], names=["doc_id", "n_shingles", "elements"])
+
+    made = _text(docs).where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id bigint, n_shingles bigint, elements binary")
+    return made.join(wanted, ["doc_id", "n_shingles"], "left_semi").dropDuplicates(["doc_id"])
+
+
+def _rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """``element, place, doc_id, n_shingles, part`` for the rarest shingles of each set, in their order from 0.
+
+    Two sets that are similar enough share one of their n - ceil(percent * n / 100) + 1 first elements in any
+    order that is the same for all. Ordered by how often shingles occur (counted in ``SLOTS`` slots by
+    hash), these are the ones that set a document apart, so passages that very many share bring nobody together.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for x in batch.column("elements"):
+                slots, n = np.unique(np.frombuffer(x.as_buffer(), np.uint64) % np.uint64(SLOTS), return_counts=True)
+                total[slots.astype(np.int64)] += n
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+
+    slots = sets.select("elements").mapInArrow(counted, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, np.int64)
+    often[slots["slot"].to_numpy()] = slots["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rare, rows, places = [], [], []
+            for i, x in enumerate(batch.column("elements")):
+                x = np.frombuffer(x.as_buffer(), np.uint64)
+                first = np.lexsort((x, shared.value[(x % np.uint64(SLOTS)).astype(np.int64)]))
+                rare.append(x[first[: len(x) + (-percent * len(x)) // 100 + 1]])
+                rows.append(np.full(len(rare[-1]), i))
+                places.append(np.arange(len(rare[-1])))
+            if rows:
+                out = batch.select(["doc_id", "n_shingles", "part"]).take(pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rare).view(np.int64)), pa.array(np.concatenate(places)), *out.columns], names=["element", "place", "doc_id", "n_shingles", "part"])
+
+    return sets.select("doc_id", "n_shingles", "part", "elements").mapInArrow(run, "element bigint, place bigint, doc_id bigint, n_shingles bigint, part bigint")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -121,9 +183,10 @@ def near_duplicates(
     Equal sets are one class with one representative, found by a pre-aggregated fingerprint, so a group
     of copies is one row of all that follows. Representatives that share a band meet as follows, each
     step over all of them and on the pairs not yet connected only: (1) each with the leader that it
-    shares most bands with; (2) each with all its bands' leaders; (3) in bands that still hold several
-    components, every pair of different components. A group of near copies is connected by (1) and (2)
-    in a number of pairs in proportion to its size, and (3) leaves out nothing.
+    shares most bands with; (2) each with all its bands' leaders; (3) of documents in bands that still hold several
+    components, every pair of different components that can be similar, by the exact rule that such sets
+    share one of their rarest shingles. A group of near copies is connected by (1) and (2) in a number of
+    pairs in proportion to its size, and (3) leaves out nothing.
 
     Texts that are null, empty or of blanks only have no shingles and are linked with nothing. Rows
     without doc_id take no part: no component, kept. Rows that repeat a doc_id are judged each by its own text.
@@ -146,13 +209,8 @@ def near_duplicates(
         shared.where(c("rep") != c("leader")).groupBy("rep", "leader").agg(F.count("*").alias("n"))
     )
     wanted = stars.select(c("rep").alias("doc_id")).union(stars.select("leader")).distinct()
-    text = docs.select(c("doc_id").cast("bigint").alias("doc_id"), "text")
-    own = reps.select("n_shingles", "f1", "f2", c("rep").alias("doc_id"))
-    sets = scratch.keep(
-        sketches(text.join(wanted, "doc_id", "left_semi"), shingle, bands, rows, only_sets=True)
-        .join(own.select("doc_id", "n_shingles"), ["doc_id", "n_shingles"], "left_semi")
-        .dropDuplicates(["doc_id"])
-    )
+    wanted = scratch.keep(wanted.join(reps.select(c("rep").alias("doc_id"), "n_shingles"), "doc_id"))
+    sets = scratch.keep(_sets_of(docs, wanted, shingle))
 
     best = Window.partitionBy("rep").orderBy(c("n").desc(), c("leader"))
     closest = stars.withColumn("place", F.row_number().over(best)).where("place = 1").select(c("rep").alias("a"), c("leader").alias("b"))
@@ -170,13 +228,19 @@ def near_duplicates(
 
     parts = scratch.keep(part_of(shared.select("bucket", "rep"), "rep", "part"))
     mixed_buckets = parts.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(c("lo") != c("hi")).select("bucket")
-    left = parts.join(mixed_buckets, "bucket", "left_semi")
-    right = left.select("bucket", c("rep").alias("b"), c("part").alias("pb"))
+    open_docs = parts.join(mixed_buckets, "bucket", "left_semi").select(c("rep").alias("doc_id"), "part").distinct()
+    rare = scratch.keep(_rare_shingles(scratch.keep(sets.join(open_docs, "doc_id")), percent))
+    several = rare.groupBy("element").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where(c("lo") != c("hi")).select("element")
+    sides = [
+        df.select("element", c("doc_id").alias(x), c("n_shingles").alias(f"n_{x}"), (c("n_shingles") - c("place")).alias(f"rest_{x}"), c("part").alias(f"p{x}"))
+        for df, x in ((rare.join(several, "element", "left_semi"), "a"), (rare, "b"))
+    ]
+    # before the first shared element neither set has one of the other's, so no more than the rest can be shared
+    least = (100 + percent) * F.least("rest_a", "rest_b") >= percent * (c("n_a") + c("n_b"))
     met = stars.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b"))
     rest = (
-        left.select("bucket", c("rep").alias("a"), c("part").alias("pa")).join(right, "bucket")
-        .where((c("a") < c("b")) & (c("pa") != c("pb"))).select("a", "b").distinct()
-        .join(met, ["a", "b"], "left_anti")
+        sides[0].join(sides[1], "element").where((c("a") < c("b")) & (c("pa") != c("pb")) & least)
+        .select("a", "b").distinct().join(met, ["a", "b"], "left_anti")
     )
     last = scratch.keep(_confirmed(rest, sets, percent))
     found = scratch.keep(connected_components(links.union(last)))
