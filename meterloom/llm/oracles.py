@@ -16,4 +16,33 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(s.text, '') EN
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5}
+OP9 = r"""
+WITH RECURSIVE
+rules(rule_host, rule_path, rule_verdict) AS (VALUES
+  ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+found AS (SELECT url AS a, unnest([
+    regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?i)<link\b[^>]*?\bhref\s*=\s*["'']?([^"''\s>]+)[^>]*\brel\s*=\s*["'']?canonical\b', 1),
+    regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*?\bcontent\s*=\s*["''][^"''>]*?\burl\s*=\s*([^"''\s>]+)', 1),
+    regexp_extract(html, '(?i)<meta\b[^>]*?\bcontent\s*=\s*["''][^"''>]*?\burl\s*=\s*([^"''\s>]+)[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b', 1)]) AS b
+  FROM pages),
+links AS (SELECT a, CASE WHEN starts_with(b, '//') THEN 'http:' || b WHEN starts_with(b, '/') THEN regexp_extract(a, '^([^:]*://[^/?#]*)', 1) || b ELSE b END AS b FROM found WHERE b <> ''),
+urls AS (SELECT url FROM pages UNION SELECT b FROM links WHERE contains(b, '://')),
+parts AS (SELECT url, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '://[^/?#]*[^?#]*(\?[^#]*)', 1), '') AS query FROM urls),
+ruled AS (SELECT url, host, path, CASE WHEN host <> '' THEN host || path || query END AS node, r.rule, r.verdict
+  FROM parts p LEFT JOIN LATERAL (
+    SELECT rule_host || rule_path AS rule, rule_verdict AS verdict FROM rules
+    WHERE (p.host = rule_host OR ends_with(p.host, '.' || rule_host)) AND starts_with(p.path, rule_path)
+    ORDER BY length(rule_host || rule_path) DESC, rule_verdict LIMIT 1) r ON true),
+edges AS (SELECT x.node AS u, y.node AS v FROM links l JOIN ruled x ON x.url = l.a JOIN ruled y ON y.url = l.b WHERE x.node IS NOT NULL AND y.node IS NOT NULL),
+both_ways AS (SELECT u, v FROM edges UNION SELECT v, u FROM edges),
+reached AS (SELECT DISTINCT node FROM ruled WHERE verdict = 'block' AND node IS NOT NULL UNION SELECT v FROM reached JOIN both_ways ON u = node),
+marked AS (SELECT DISTINCT node FROM reached WHERE node IN (SELECT u FROM both_ways))
+SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.rule,
+       CASE WHEN r.verdict IS NULL AND m.node IS NOT NULL THEN 'block' ELSE coalesce(r.verdict, 'allow') END AS verdict,
+       r.verdict IS NULL AND m.node IS NOT NULL AS by_alias
+FROM pages p LEFT JOIN ruled r ON r.url = p.url LEFT JOIN marked m ON m.node = r.node
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op9_url_filter": OP9}

@@ -4,32 +4,123 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from ..scratch import scratch_folder
+from .ann import nearest
 from .bpe import encoding_digests
+from .dac import read_token_documents, write_token_segments
+from .exact_topk import exact_topk
+from .line_dedup import deduplicate_lines
 from .minhash import near_duplicates
+from .mixing import mix_sources, source_counts, tempered_weights
+from .sharding import assign_shards
+from .toxicity import train_toxicity, with_toxicity
+from .url_filter import judge_urls
 
 #: The tokenizer file of the token queries; its place is a parameter of their operators.
 TOKENIZER = "word_bpe_49k.json"
+#: The id that ends a document.
+END_ID = 2
+#: Power of a source's size in its weight.
+TEMPER = 0.9
+SHARDS = [f"shard-{i:03d}" for i in range(64)]
+#: host, path, verdict
+RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """For :func:`write_token_segments`: the tokenizers library, without truncation and padding."""
+
+    def start() -> Callable[[list[str]], list[np.ndarray]]:
+        tokens = Tokenizer.from_file(path)
+        tokens.no_truncation()
+        tokens.no_padding()
+        return lambda texts: [np.array(x.ids, np.uint32) for x in tokens.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return start
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document exactly and decodes the ids again."""
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every document comes in a mixture in which large sources weigh less than their size."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    counts = source_counts(docs)
+    return mix_sources(docs, tempered_weights(counts, TEMPER), counts)
+
+
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all documents' ids as directly addressable codes and reads them back."""
+    folder = scratch_folder(spark, "tokens")
+    write_token_segments(table(spark, sf_dir, "documents"), folder, library_encoder(public_tokenizers.path(TOKENIZER)), END_ID)
+    return read_token_documents(spark, folder, checksum=True)
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found for every twentieth vector."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, k=20)
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without lines that passages of three lines repeat."""
+    return deduplicate_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components over two-word shingles at a similarity of 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=2, percent=80)
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document."""
+    return assign_shards(table(spark, sf_dir, "documents").select("doc_id"), SHARDS)
+
+
+def op8_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 highest integer inner products for every hundredth vector."""
+    return exact_topk(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0, k=10, scale=1024)
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every page's URL."""
+    return judge_urls(table(spark, sf_dir, "pages"), RULES)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, by a model of labelled documents outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train_toxicity(docs, table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_mixing": op2_mixing,
+    "op3_token_output": op3_token_output,
+    "op4_ann": op4_ann,
+    "op5_line_dedup": op5_line_dedup,
     "op6_minhash": op6_minhash,
+    "op7_sharding": op7_sharding,
+    "op8_exact_topk": op8_exact_topk,
+    "op9_url_filter": op9_url_filter,
+    "op10_toxicity": op10_toxicity,
 }

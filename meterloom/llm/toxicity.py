@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +15,7 @@ from .text_hash import mixed, small_slices, text_bytes
 MAX_LABELLED = 3000
 #: Rows of the embedding table (a power of two), their length, words a window, and lengths of subwords in bytes.
 BUCKETS, DIM, WINDOW, SUBWORDS = 1 << 16, 4, 48, (3, 4, 5, 6)
-EPOCHS, RATE = 40, 0.1
+EPOCHS, RATES = 60, (4.0, 0.05, 0.05)
 
 _rng = np.random.Generator(np.random.PCG64(10))
 _CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -140,11 +139,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> ToxicityModel:
     share = np.where(toxic == 1, 0.5 / (toxic == 1).sum(), 0.5 / (toxic == 0).sum())
 
     rng = np.random.Generator(np.random.PCG64(3))
-    table = rng.normal(0, 0.5, (DIM, BUCKETS))
+    table = rng.normal(0, 0.01, (DIM, BUCKETS))
     soft = rng.normal(0, 0.5, (2, DIM))
     bias = np.zeros(2)
     params = [table, soft, bias]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    speed = [np.zeros_like(p) for p in params]
+    scale = [0.0, 0.0, 0.0]
     for step in range(1, EPOCHS + 1):
         kinds = np.stack([np.add.reduceat(table[d][bucket], bounds[:-1]) / size for d in range(DIM)])
         hidden = np.stack([np.bincount(window, kinds[d][kind], len(per_window)) * per_window for d in range(DIM)])
@@ -158,10 +158,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> ToxicityModel:
         grads_table = np.stack(
             [np.bincount(bucket, (np.bincount(kind, back[d][window], len(size)) / size)[of_bucket], BUCKETS) for d in range(DIM)]
         )
-        for p, g, m, v in zip(params, (grads_table, grads_soft, grads_bias), first, second):
-            m += 0.1 * (g - m)
-            v += 0.001 * (g * g - v)
-            p -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        # one step size for a whole matrix: what few texts have moves little, what marks many moves far
+        for k, (p, g) in enumerate(zip(params, (grads_table, grads_soft, grads_bias))):
+            speed[k] = 0.9 * speed[k] + g
+            scale[k] = max(scale[k], float(np.sqrt((g * g).sum())))
+            p -= RATES[k] * speed[k] / (scale[k] + 1e-12)
     return ToxicityModel(((soft[1] - soft[0]) @ table).astype(np.float32), float(bias[1] - bias[0]) + odds)
 
 
@@ -189,17 +190,19 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     return fit(found.column("text").combine_chunks(), found.column("toxic").to_numpy().astype(np.float64), prior)
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, score`` for each row, from the whole text alone; the work is narrow.
+def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
+    """``docs`` with a ``score`` from 0 to 1 of each whole text; nothing else is an input. The work is narrow.
 
-    Null, empty and wordless texts get the model's bias as score. Repeated rows, null keys and other columns
-    make no difference.
+    Null, empty and wordless texts score what the model's bias alone gives. Repeated rows and null keys make no
+    difference. Other columns pass through; one that is called like the score is an error.
     """
+    if score in docs.columns:
+        raise ValueError(f"column {score} is there already")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in small_slices(batch, "text", 1 << 20):
-                yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(model.scores(part.column("text")))], names=["key", "score"])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+        found = [model.scores(part.column("text")) for part in small_slices(batch, "text", 1 << 20)]
+        return pa.array(np.concatenate(found) if found else np.empty(0))
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"key {docs.schema[key].dataType.simpleString()}, score double").withColumnRenamed("key", key)
+    return docs.withColumn(score, scored(F.col(text).cast("string")))
