@@ -14,8 +14,9 @@ from .text_hash import mixed, small_slices, text_bytes
 #: Labelled documents that the model is fitted on at most (each class at most half). The bound of the fit.
 MAX_LABELLED = 3000
 #: Rows of the embedding table (a power of two), their length, words a window, and lengths of subwords in bytes.
-BUCKETS, DIM, WINDOW, SUBWORDS = 1 << 16, 4, 48, (3, 4, 5, 6)
-EPOCHS, RATES = 60, (4.0, 0.05, 0.05)
+BUCKETS, DIM, WINDOW, SUBWORDS = 1 << 20, 4, 12, (3, 4, 5, 6)
+#: Rounds of the fit, steps of the embeddings and of the rest, decay, and the share of texts that a subword must be in.
+EPOCHS, RATES, DECAY, LEAST_SHARE = 50, (3.0, 0.05, 0.05), 1e-7, 1 / 150
 
 _rng = np.random.Generator(np.random.PCG64(10))
 _CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -66,7 +67,7 @@ def bags(texts: pa.Array) -> Bags:
     order = np.argsort(at, kind="stable")
     at, buckets = at[order], buckets[order]
     words = np.append(np.searchsorted(at, starts), len(at))
-    full = np.diff(words) > 0  # a word of one byte has no subword of three bytes unless marks count; keep those with any
+    full = np.diff(words) > 0
     starts = starts[full]
     words = np.append(words[:-1][full], len(at))
     first = np.searchsorted(starts, bounds)
@@ -112,17 +113,16 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(pooled, -500, 500)))
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> ToxicityModel:
+def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     """Embeddings and softmax weights together, by Adam on all texts at once.
 
     A word is the mean of its subwords' embeddings, a window the mean of its words; a text is as toxic as its
     windows together (log-sum-exp of their logits), so that a few words count the same in a long text. Classes
-    weigh the same in the fit; the bias is moved afterwards to the share ``prior`` of toxic texts.
-    Without both classes the score of every text is ``prior``.
+    weigh the same. Subwords of few texts are left out. Without both classes every text gets the one there is
+    (or, without texts, 0).
     """
-    odds = float(np.log(np.clip(prior, 1e-6, 1 - 1e-6) / (1 - np.clip(prior, 1e-6, 1 - 1e-6))))
     if len(np.unique(toxic)) < 2:
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), odds)
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), 14.0 if len(toxic) and toxic[0] else -14.0)
     b = bags(texts)
     # words recur: their subwords are averaged once a round
     word = np.repeat(np.arange(len(b.words) - 1), np.diff(b.words))
@@ -143,8 +143,10 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> ToxicityModel:
     soft = rng.normal(0, 0.5, (2, DIM))
     bias = np.zeros(2)
     params = [table, soft, bias]
-    speed = [np.zeros_like(p) for p in params]
-    scale = [0.0, 0.0, 0.0]
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    # a subword of few texts would only be learned by heart
+    pairs = np.unique(np.repeat(text[window], np.diff(b.words)).astype(np.int64) * BUCKETS + b.buckets)
+    usual = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= LEAST_SHARE * len(toxic)
     for step in range(1, EPOCHS + 1):
         kinds = np.stack([np.add.reduceat(table[d][bucket], bounds[:-1]) / size for d in range(DIM)])
         hidden = np.stack([np.bincount(window, kinds[d][kind], len(per_window)) * per_window for d in range(DIM)])
@@ -158,19 +160,19 @@ def fit(texts: pa.Array, toxic: np.ndarray, prior: float) -> ToxicityModel:
         grads_table = np.stack(
             [np.bincount(bucket, (np.bincount(kind, back[d][window], len(size)) / size)[of_bucket], BUCKETS) for d in range(DIM)]
         )
-        # one step size for a whole matrix: what few texts have moves little, what marks many moves far
-        for k, (p, g) in enumerate(zip(params, (grads_table, grads_soft, grads_bias))):
-            speed[k] = 0.9 * speed[k] + g
-            scale[k] = max(scale[k], float(np.sqrt((g * g).sum())))
-            p -= RATES[k] * speed[k] / (scale[k] + 1e-12)
-    return ToxicityModel(((soft[1] - soft[0]) @ table).astype(np.float32), float(bias[1] - bias[0]) + odds)
+        for p, g, m, v, rate in zip(params, (grads_table * usual + DECAY * table, grads_soft, grads_bias), first, second, RATES):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
+            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
+        table *= usual
+    return ToxicityModel(((soft[1] - soft[0]) @ table).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
     """A model from labelled rows (``doc_id, toxic``) whose crc32 of the doc_id as text is no multiple of 5.
 
     Only at most ``max_labelled`` documents, the first in the order of a hash and at most half of each class,
-    are brought to the driver; the share of toxic labels is counted over all. Null labels and labels without a
+    are brought to the driver. Null labels and labels without a
     document are passed over; of several labels of one document the highest counts.
     """
     c = F.col
@@ -179,15 +181,13 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
         .where(c("toxic").isin(0, 1) & (F.crc32(c("doc_id").cast("string")) % 5 != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
-    n = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     chosen = [usable.where(c("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled // 2) for k in (0, 1)]
     # a row for each chosen document at most: bounded, so it may be broadcast
     sample = docs.select(c("doc_id").cast("bigint").alias("doc_id"), F.coalesce(c("text").cast("string"), F.lit("")).alias("text"))
     sample = sample.join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")
     once = Window.partitionBy("doc_id").orderBy("text")
     found = sample.withColumn("nth", F.row_number().over(once)).where("nth = 1").orderBy("doc_id").select("text", "toxic").toArrow()
-    prior = n.get(1, 0) / max(1, sum(n.values()))
-    return fit(found.column("text").combine_chunks(), found.column("toxic").to_numpy().astype(np.float64), prior)
+    return fit(found.column("text").combine_chunks(), found.column("toxic").to_numpy().astype(np.float64))
 
 
 def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", score: str = "score") -> DataFrame:
