@@ -16,7 +16,8 @@ from tokenizers import Tokenizer
 from meterloom.llm import bpe, dac, minhash, text_hash
 from meterloom.llm.components import connected_components
 from meterloom.llm.line_dedup import deduplicate_lines
-from meterloom.llm.queries import TOKENIZER, library_encoder
+from meterloom.llm.bpe import library_encoder
+from meterloom.llm.queries import TOKENIZER
 from meterloom.scratch import scratch_folder
 
 PATH = public_tokenizers.path(TOKENIZER)
