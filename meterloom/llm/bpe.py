@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -233,6 +233,23 @@ class PrefixEncoder:
         return " ".join(map(self.text_of.__getitem__, ids.tolist()))
 
 
+class LibraryEncoder(PrefixEncoder):
+    """The same text handling with the library's own BPE for each word, for writers that need no other method."""
+
+    def encode_word(self, word: str) -> list[int]:
+        return [token.id for token in self.library.model.tokenize(word)]
+
+
+@lru_cache(2)
+def library_words(path: str) -> LibraryEncoder:
+    return LibraryEncoder(path)
+
+
+def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
+    """What a segment writer calls for its encoder: texts to ids by the tokenizers library."""
+    return lambda: lambda texts: [library_words(path).encode(x) for x in texts]
+
+
 @lru_cache(2)
 def encoder(path: str) -> PrefixEncoder:
     """One encoder for each Python worker and file."""

@@ -19,6 +19,8 @@ _MAGIC = b"DAC1"
 _RANKED = 512
 #: A segment ends with the first document that fills it to so many ids.
 SEGMENT = 1 << 20
+#: Bytes of text given to an encoder at a time; what libraries keep of a token is many times its text.
+ENCODED = 1 << 18
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -135,7 +137,7 @@ def write_token_segments(
             return pa.RecordBatch.from_arrays(arrays, names=["part", "seq", "doc_ids", "ends", "n_tokens", "codes"])
 
         for batch in batches:
-            for piece in small_slices(batch, "text"):
+            for piece in small_slices(batch, "text", ENCODED):
                 for key, ids in zip(piece.column("doc_id").to_pylist(), to_ids(piece.column("text").to_pylist())):
                     parts += [ids, end]
                     size += len(ids) + len(end)

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ..scratch import scratch_folder
 from .ann import nearest
-from .bpe import encoding_digests
+from .bpe import encoding_digests, library_encoder
 from .dac import read_token_documents, write_token_segments
 from .exact_topk import exact_topk
 from .line_dedup import deduplicate_lines
@@ -43,18 +41,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
-    """For :func:`write_token_segments`: the tokenizers library, without truncation and padding."""
-
-    def start() -> Callable[[list[str]], list[np.ndarray]]:
-        tokens = Tokenizer.from_file(path)
-        tokens.no_truncation()
-        tokens.no_padding()
-        return lambda texts: [np.array(x.ids, np.uint32) for x in tokens.encode_batch_fast(texts, add_special_tokens=False)]
-
-    return start
-
-
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes every document exactly and decodes the ids again."""
     return encoding_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))

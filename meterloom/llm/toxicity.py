@@ -123,49 +123,63 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     """
     if len(np.unique(toxic)) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 14.0 if len(toxic) and toxic[0] else -14.0)
-    b = bags(texts)
-    # words recur: their subwords are averaged once a round
-    word = np.repeat(np.arange(len(b.words) - 1), np.diff(b.words))
-    with np.errstate(over="ignore"):
-        names = np.add.reduceat(mixed(b.buckets.astype(np.uint64) + np.uint64(BUCKETS) * (np.arange(len(word)) - b.words[word]).astype(np.uint64)), b.words[:-1])
-    _, kind_at, kind = np.unique(names, return_index=True, return_inverse=True)
-    size = np.diff(b.words)[kind_at]
-    bounds = np.append(0, np.cumsum(size))
-    bucket = b.buckets[np.repeat(b.words[kind_at], size) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], size)]
-    of_bucket = np.repeat(np.arange(len(size)), size)
-    window = np.repeat(np.arange(len(b.windows) - 1), np.diff(b.windows))
-    text = np.repeat(np.arange(len(toxic)), np.diff(b.texts))
-    per_window = 1 / np.diff(b.windows)
+    # slice by slice, so that only each text's words and the subwords of different words are held
+    words, windows, per_text, parts, often = [], [], [], [], np.zeros(BUCKETS, np.int64)
+    known = np.empty(0, np.uint64)
+    for part in small_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 19):
+        b = bags(part.column("text"))
+        size, per_window = np.diff(b.words), np.diff(b.windows)
+        with np.errstate(over="ignore"):
+            nth = np.arange(len(b.buckets)) - np.repeat(b.words[:-1], size)
+            names = np.add.reduceat(mixed(b.buckets.astype(np.uint64) + np.uint64(BUCKETS) * nth.astype(np.uint64)), b.words[:-1]) if len(size) else known[:0]
+        in_text = np.repeat(np.repeat(np.repeat(np.arange(part.num_rows), np.diff(b.texts)), per_window), size)
+        often += np.bincount(np.unique(in_text * BUCKETS + b.buckets) % BUCKETS, minlength=BUCKETS)
+        kinds, at = np.unique(names, return_index=True)
+        new = ~np.isin(kinds, known)
+        known = np.append(known, kinds[new])
+        parts += [b.buckets[b.words[i] : b.words[i + 1]] for i in at[new].tolist()]
+        words, windows, per_text = [*words, names], [*windows, per_window], [*per_text, np.diff(b.texts)]
+    words, windows, per_text = np.concatenate(words), np.concatenate(windows), np.concatenate(per_text)
+    order = np.argsort(known)
+    kind = order[np.searchsorted(known, words, sorter=order)].astype(np.int32)
+    size = np.array([len(x) for x in parts])
+    # what is in few texts would only be learned by heart; it counts in the means but stays zero
+    usual = np.flatnonzero(often >= LEAST_SHARE * len(toxic))
+    row = np.full(BUCKETS, -1, np.int32)
+    row[usual] = np.arange(len(usual))
+    bucket = row[np.concatenate(parts)] if parts else row[:0]
+    of_bucket = np.repeat(np.arange(len(size), dtype=np.int32), size)[bucket >= 0]
+    bucket = bucket[bucket >= 0]
+    window = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+    text = np.repeat(np.arange(len(toxic)), per_text)
+    texts_at = np.append(0, np.cumsum(per_text))
+    per_window = 1 / windows
     share = np.where(toxic == 1, 0.5 / (toxic == 1).sum(), 0.5 / (toxic == 0).sum())
 
     rng = np.random.Generator(np.random.PCG64(3))
-    table = rng.normal(0, 0.01, (DIM, BUCKETS))
+    table = rng.normal(0, 0.01, (DIM, len(usual)))
     soft = rng.normal(0, 0.5, (2, DIM))
     bias = np.zeros(2)
     params = [table, soft, bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    # a subword of few texts would only be learned by heart
-    pairs = np.unique(np.repeat(text[window], np.diff(b.words)).astype(np.int64) * BUCKETS + b.buckets)
-    usual = np.bincount(pairs % BUCKETS, minlength=BUCKETS) >= LEAST_SHARE * len(toxic)
     for step in range(1, EPOCHS + 1):
-        kinds = np.stack([np.add.reduceat(table[d][bucket], bounds[:-1]) / size for d in range(DIM)])
-        hidden = np.stack([np.bincount(window, kinds[d][kind], len(per_window)) * per_window for d in range(DIM)])
+        hidden = np.stack([np.bincount(window, (np.bincount(of_bucket, x[bucket], len(size)) / size)[kind], len(windows)) for x in table]) * per_window
         logits = soft @ hidden + bias[:, None]
-        pooled, part = _pooled(logits[1] - logits[0], b.texts, float(bias[1] - bias[0]))
-        wrong = (1 / (1 + np.exp(-pooled)) - toxic) * share
+        pooled, part = _pooled(logits[1] - logits[0], texts_at, float(bias[1] - bias[0]))
+        wrong = (1 / (1 + np.exp(-np.clip(pooled, -500, 500))) - toxic) * share
         at_window = wrong[text] * part
         both = np.stack([-at_window, at_window])
-        grads_soft, grads_bias = both @ hidden.T, both.sum(1)
-        back = (soft[1] - soft[0])[:, None] * (at_window * per_window)[None, :]
-        grads_table = np.stack(
-            [np.bincount(bucket, (np.bincount(kind, back[d][window], len(size)) / size)[of_bucket], BUCKETS) for d in range(DIM)]
-        )
-        for p, g, m, v, rate in zip(params, (grads_table * usual + DECAY * table, grads_soft, grads_bias), first, second, RATES):
+        # the same for every component up to its weights
+        back = (np.bincount(kind, (at_window * per_window)[window], len(size)) / size)[of_bucket]
+        grad = np.bincount(bucket, back, len(usual))
+        grads = ((soft[1] - soft[0])[:, None] * grad + DECAY * table, both @ hidden.T, both.sum(1))
+        for p, g, m, v, rate in zip(params, grads, first, second, RATES):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
-        table *= usual
-    return ToxicityModel(((soft[1] - soft[0]) @ table).astype(np.float32), float(bias[1] - bias[0]))
+    weights = np.zeros(BUCKETS, np.float32)
+    weights[usual] = (soft[1] - soft[0]) @ table
+    return ToxicityModel(weights, float(bias[1] - bias[0]))
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> ToxicityModel:
