@@ -5,29 +5,30 @@ label, stop dropping it) or ``clear`` (forget all of it). A sample at ``ts`` get
 every action strictly before ``ts``: added labels are set on top of its own, then dropped ones
 are removed.
 
-How it runs. Control rows are first reduced to one edit per instant, name and side. The instants
-are numbered in time order, range by range, so nothing is sorted in one task; each edit then
-covers a span of numbers, up to the next edit of the same name or the next ``clear``. Exploding
-the spans gives one *snapshot* per instant. Samples find theirs in one of two exact ways:
-
-* ``bins`` - the snapshots' measured size and density are small: they are laid out in equal time
-  bins and broadcast, so samples are not shuffled at all;
-* ``merge`` - otherwise: the distinct sample instants are merged with the control instants,
-  range by range, and joined back on the instant. A hot instant is one row of that merge, and the
-  join back is an equi-join whose hot keys adaptive execution can split.
+How it runs. Control rows are first reduced to one edit per instant, name and side. Each edit is in
+force for an *interval*, up to the next edit of the same name and side or the next ``clear``. Rows
+find the last control instant before them in one of two exact ways:
+
+* ``bins`` - control instants are few and even enough: they are laid out in equal time bins and
+  broadcast, so rows are not shuffled at all;
+* ``merge`` - otherwise: the distinct row instants are merged with the control instants, range by
+  range, and joined back on the instant. A hot instant is one row of that merge, and the join back
+  is an equi-join whose hot keys adaptive execution can split.
+
+Only control instants that some row finds get a *state*, and a state holds the labels to add and, of
+the labels its own rows carry, those to drop. So work follows the rows and the labels they get, not
+the number of control instants times the number of names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.maps import without_keys
-from ..functions.ranges import cut_points, lookup, range_index
 from ..functions.text import epoch_micros
-from ..scratch import written
+from ..scratch import Scratch
 
 # The actions and what they edit.
 ADD_ACTIONS = ("set", "unset")
@@ -39,22 +40,6 @@ MAX_PER_BIN = 64
 ROWS_PER_RANGE = 1_000_000
 
 
-@dataclass(frozen=True)
-class Snapshots:
-    """Label state after each control instant.
-
-    ``rows``: ``rank, lo, hi, add map<string,string>, hide array<string>``; the state holds for
-    ``lo < t <= hi`` in microseconds, ``hi`` NULL at the end. ``add`` are the labels to set,
-    without dropped ones; ``hide`` are all names the state decides on. Instants with an empty
-    state are left out. ``first``/``last`` are the outermost control instants.
-    """
-
-    rows: DataFrame
-    instants: int
-    first: int
-    last: int
-
-
 def effective_edits(control: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(edits, clears)`` that change anything, one per instant.
 
@@ -80,112 +65,121 @@ def effective_edits(control: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edits, clears
 
 
-def label_snapshots(control: DataFrame, *, rows_per_range: int = ROWS_PER_RANGE) -> Snapshots | None:
-    """Build :class:`Snapshots`; None when the control table holds no valid action.
+def _ranged(table: DataFrame, column: str, rows_per_range: int, scratch: Scratch) -> DataFrame:
+    """A written table with ``part``: ranges of ``column`` of about equal row count, as many as it takes."""
+    n = math.ceil(table.count() / max(1, rows_per_range))
+    if n <= 1:
+        return table.withColumn("part", F.lit(0))
+    return scratch.keep(table.repartitionByRange(n, column).withColumn("part", F.spark_partition_id()))
 
-    Runs one small job over the control table, and two more if it has over ``rows_per_range``
-    distinct instants.
-    """
-    edits, clears = effective_edits(control)
-    marks = edits.select("us", F.lit(False).alias("clears")).union(clears.select("us", F.lit(True)))
-    instants = marks.groupBy("us").agg(F.max("clears").alias("clears"))
-    seen = instants.agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")).first()
-    if not seen["n"]:
-        return None
 
-    cuts = cut_points(instants, "us", seen["n"], rows_per_range)
-    instants = instants.withColumn("part", range_index(F.col("us"), cuts))
-    in_order = Window.partitionBy("part").orderBy("us")
-    back = Window.partitionBy("part").orderBy(F.col("us").desc())
-    if cuts:
-        per_part = _per_part(instants, len(cuts) + 1)
-        base, next_us, next_clear = per_part["base"], per_part["next_us"], per_part["next_clear_us"]
-    else:
-        base, next_us, next_clear = [0], [None], [None]
+def control_timeline(edits: DataFrame, clears: DataFrame, scratch: Scratch, *, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """``us, part, hi, until_us`` of each control instant: the next one, and the next ``clear``.
 
-    # us, part, rank (1-based over all instants), hi (next instant), until (next clear), all exact.
-    timeline = instants.select(
-        "us",
+    Instants are sorted range by range; one row a range tells what the ranges after it begin with.
+    """
+    marks = edits.select("us", F.lit(False).alias("clears")).union(clears.select("us", F.lit(True)))
+    instants = _ranged(scratch.keep(marks.groupBy("us").agg(F.max("clears").alias("clears"))), "us", rows_per_range, scratch)
+    clear_us = F.when(F.col("clears"), F.col("us"))
+    per_part = instants.groupBy("part").agg(F.min("us").alias("first_us"), F.min(clear_us).alias("first_clear"))
+    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    per_part = per_part.select(
         "part",
-        (F.row_number().over(in_order) + lookup(F.col("part"), base)).alias("rank"),
-        F.coalesce(F.lead("us").over(in_order), lookup(F.col("part"), next_us)).alias("hi"),
-        F.coalesce(
-            F.last(F.when(F.col("clears"), F.col("us")), ignorenulls=True).over(
-                back.rowsBetween(Window.unboundedPreceding, -1)
-            ),
-            lookup(F.col("part"), next_clear),
-        ).alias("until_us"),
+        F.first("first_us").over(later).alias("after_us"),
+        F.first("first_clear", ignorenulls=True).over(later).alias("after_clear"),
     )
-    spans = _spans(edits, timeline, cuts, base, seen["n"])
-    added = F.map_from_entries(F.collect_list(F.when(F.col("adds"), F.struct(F.col("name"), F.col("value")))))
-    rows = (
-        spans.groupBy("rank")
-        .agg(added.alias("set"), F.collect_list(F.when(~F.col("adds"), F.col("name"))).alias("drop"))
-        .join(timeline.select("rank", F.col("us").alias("lo"), "hi"), "rank")
-        .select(
-            "rank",
-            "lo",
-            "hi",
-            without_keys(F.col("set"), F.col("drop")).alias("add"),
-            F.array_union(F.map_keys("set"), "drop").alias("hide"),
+    here = Window.partitionBy("part").orderBy("us")
+    rest = here.rowsBetween(1, Window.unboundedFollowing)
+    return scratch.keep(
+        instants.select(
+            "us", "part", F.lead("us").over(here).alias("hi"), F.first(clear_us, ignorenulls=True).over(rest).alias("until")
         )
+        .join(per_part, "part")
+        .select("us", "part", F.coalesce("hi", "after_us").alias("hi"), F.coalesce("until", "after_clear").alias("until_us"))
     )
-    return Snapshots(rows, seen["n"], seen["lo"], seen["hi"])
 
 
-def _per_part(instants: DataFrame, parts: int) -> dict[str, list]:
-    """What each range needs to know of the others; one row per range comes to the driver."""
-    found = {
-        r["part"]: r
-        for r in instants.groupBy("part")
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("us").alias("first_us"),
-            F.min(F.when(F.col("clears"), F.col("us"))).alias("first_clear"),
-        )
-        .collect()
-    }
-    base, next_us, next_clear = [0] * parts, [None] * parts, [None] * parts
-    for p in range(1, parts):
-        base[p] = base[p - 1] + (found[p - 1]["n"] if p - 1 in found else 0)
-    for p in range(parts - 2, -1, -1):
-        after = found.get(p + 1)
-        next_us[p] = after["first_us"] if after else next_us[p + 1]
-        next_clear[p] = after["first_clear"] if after and after["first_clear"] is not None else next_clear[p + 1]
-    return {"base": base, "next_us": next_us, "next_clear_us": next_clear}
+def _last_instants(
+    times: DataFrame, timeline: DataFrame, scratch: Scratch, rows_per_range: int
+) -> DataFrame:
+    """``_us, _lo``: for every distinct time after a control instant, the last one before it."""
+    marks = timeline.select(F.col("us").alias("_us"), F.col("us").alias("lo"))
+    points = scratch.keep(times.distinct().select("_us", F.lit(None).cast("bigint").alias("lo")).union(marks))
+    points = _ranged(points, "_us", rows_per_range, scratch)
+    # At one instant the row comes first: an action takes effect only after its own time.
+    order = Window.partitionBy("part").orderBy("_us", F.col("lo").isNotNull())
+    running = F.last("lo", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = points.groupBy("part").agg(F.max("lo").alias("lo")).select("part", F.max("lo").over(before).alias("carried"))
+    resolved = points.withColumn("_lo", running).where("lo is null").join(carried, "part")
+    return resolved.select("_us", F.coalesce("_lo", "carried").alias("_lo")).where("_lo is not null")
+
+
+def _bins(timeline: DataFrame, broadcast_bytes: int, max_per_bin: int) -> tuple[DataFrame, Column] | None:
+    """``_bin, _from, _to`` for each bin that a stretch between instants reaches into (at most three a stretch
+    over all), and the bin of ``_us``; None where they are too large or too dense to be broadcast."""
+    seen = timeline.agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("lo"), F.max("us").alias("hi")).first()
+    if seen["n"] * 3 * 64 > broadcast_bytes:
+        return None
+    width = F.lit(max(1, (seen["hi"] - seen["lo"]) // (2 * seen["n"])))
+
+    def bin_of(us: Column) -> Column:
+        # whatever lies outside the control period falls in the nearest edge bin
+        inside = F.least(F.greatest(us, F.lit(seen["lo"])), F.lit(seen["hi"] + 1))
+        return F.call_function("div", inside - seen["lo"], width)
+
+    lo, hi = F.col("us"), F.coalesce("hi", F.lit(2**63 - 1).cast("bigint"))
+    bins = timeline.select(F.explode(F.sequence(bin_of(lo + 1), bin_of(hi))).alias("_bin"), lo.alias("_lo"), hi.alias("_hi"))
+    densest = bins.groupBy("_bin").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    return (bins, bin_of(F.col("_us"))) if densest <= max_per_bin else None
 
 
-def _spans(edits: DataFrame, timeline: DataFrame, cuts: list[int], base: list[int], instants: int) -> DataFrame:
-    """``rank, adds, name, value``: one row per instant after which an edit is in force."""
+def label_states(
+    own: DataFrame, edits: DataFrame, timeline: DataFrame, scratch: Scratch, *, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """``_lo, _add, _hide`` for those control instants of ``own`` (``_lo, name``) after which labels change.
+
+    ``own`` has the label names that rows carry after each instant that any row finds. ``_add`` are the labels
+    to set, ``_hide`` the rows' own names to drop.
+    """
+    found = own.select(F.col("_lo").alias("us")).distinct().withColumn("found", F.lit(1))
+    counted = timeline.join(found, "us", "left").select("us", "part", "until_us", F.coalesce("found", F.lit(0)).alias("found"))
+    # numbers of the found instants: those up to an instant are counted range by range
+    before = counted.groupBy("part").agg(F.sum("found").alias("n"))
+    before = before.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"), F.sum("n").over(Window.partitionBy()).alias("all"))
+    upto = F.sum("found").over(Window.partitionBy("part").orderBy("us"))
+    numbers = scratch.keep(
+        counted.withColumn("upto", upto).join(before, "part")
+        .select("us", "until_us", "found", (F.col("upto") + F.col("base")).alias("nth"), "all")
+    )
     key = ["name", "adds"]
-    placed = edits.join(timeline.select("us", "part", "rank", "until_us"), "us")
-    next_us = F.lead("us").over(Window.partitionBy(*key, "part").orderBy("us"))
-    placed = placed.withColumn("next_us", next_us)
-    if cuts:
-        # The last edit of a name in a range ends at the name's first edit in a later range.
-        firsts = placed.groupBy(*key, "part").agg(F.min("us").alias("first_us"))
-        later = firsts.select(
-            *key, "part", F.lead("first_us").over(Window.partitionBy(*key).orderBy("part")).alias("later_us")
-        )
-        placed = placed.join(later, [*key, "part"]).withColumn("next_us", F.coalesce("next_us", "later_us"))
-    live = placed.where("live").withColumn("end_us", F.least("next_us", "until_us"))
-    ends = timeline.select(F.col("us").alias("end_us"), F.col("rank").alias("end_rank"))
-    live = live.join(ends, "end_us", "left").select(
-        "adds", "name", "value", "rank", (F.coalesce("end_rank", F.lit(instants + 1)) - 1).alias("to")
+    ended = edits.withColumn("next_us", F.lead("us").over(Window.partitionBy(*key).orderBy("us")))
+    starts = ended.where("live").join(numbers, "us").withColumn("end_us", F.least("next_us", "until_us"))
+    ends = numbers.select(F.col("us").alias("end_us"), (F.col("nth") - F.col("found")).alias("to"))
+    spans = scratch.keep(
+        starts.join(ends, "end_us", "left")
+        .select("adds", "name", "value", (F.col("nth") - F.col("found") + 1).alias("first"), F.coalesce("to", "all").alias("last"))
+        .where("first <= last")
     )
-    if cuts:
-        # Cut long spans at the ranges, so that no single row explodes into an unbounded array.
-        last_rank = [*base[1:], instants]
-        first, final = (range_index(F.col(c), base[1:]) for c in ("rank", "to"))
-        live = (
-            live.where(F.col("rank") <= F.col("to"))
-            .select("*", F.explode(F.sequence(first, final)).alias("p"))
-            .withColumn("rank", F.greatest("rank", lookup(F.col("p"), base) + 1))
-            .withColumn("to", F.least("to", lookup(F.col("p"), last_rank)))
-        )
-    return live.where(F.col("rank") <= F.col("to")).select(
-        "adds", "name", "value", F.explode(F.sequence("rank", "to")).alias("rank")
+    # no row explodes into an unbounded array: spans are cut into stretches first
+    block = lambda c: F.floor(F.col(c) / rows_per_range)
+    cut = spans.withColumn("block", F.explode(F.sequence(block("first"), block("last")))).select(
+        "adds", "name", "value", "block",
+        F.greatest("first", F.col("block") * rows_per_range).alias("first"),
+        F.least("last", F.col("block") * rows_per_range + rows_per_range - 1).alias("last"),
     )
+    instants = numbers.where("found = 1").select(F.col("us").alias("_lo"), "nth")
+    added = cut.where("adds").select(F.explode(F.sequence("first", "last")).alias("nth"), "name", "value", F.lit(False).alias("own"))
+    carried = own.where("name is not null").join(instants, "_lo").select("nth", "name", F.lit(None).cast("string").alias("value"), F.lit(True).alias("own"))
+    asked = added.union(carried).select("name", block("nth").alias("block"), "nth", F.lit(None).cast("bigint").alias("until"), "value", "own")
+    drops = cut.where(~F.col("adds")).select("name", "block", F.col("first").alias("nth"), F.col("last").alias("until"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("boolean").alias("own"))
+    # a name's drops follow each other, so the last one that began tells
+    so_far = Window.partitionBy("name", "block").orderBy("nth", F.col("until").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    judged = asked.union(drops).withColumn("dropped", F.coalesce(F.last("until", ignorenulls=True).over(so_far) >= F.col("nth"), F.lit(False)))
+    kept = F.when(~F.col("own") & ~F.col("dropped"), F.struct("name", "value"))
+    gone = F.when(F.col("own") & F.col("dropped"), F.col("name"))
+    states = judged.where("own is not null").groupBy("nth").agg(F.map_from_entries(F.collect_list(kept)).alias("_add"), F.collect_list(gone).alias("_hide"))
+    return scratch.keep(states.where((F.size("_add") > 0) | (F.size("_hide") > 0)).join(instants, "nth").select("_lo", "_add", "_hide"))
 
 
 def annotate(
@@ -202,99 +196,37 @@ def annotate(
     """``data`` with its label map edited by ``control`` (``ts, seq, action, name, value``).
 
     Rows without a label map are dropped. Unknown actions, actions without the name or value they
-    need, and actions without a time are ignored. ``strategy`` is ``auto``, ``bins`` or
-    ``merge``; ``auto`` measures the snapshots first. ``data`` must not be a stream: call this
-    inside ``foreachBatch``.
+    need, and actions without a time are ignored. ``strategy`` is ``auto`` or ``merge``; ``auto``
+    measures the control instants first. ``data`` is read twice: for the instants and names it holds, and for the
+    result. It must not be a stream: call this inside ``foreachBatch``.
     """
     if data.isStreaming:
         raise ValueError("annotate a stream inside foreachBatch, see meterloom.streaming")
-    if strategy not in ("auto", "bins", "merge"):
+    if strategy not in ("auto", "merge"):
         raise ValueError(f"unknown strategy {strategy!r}")
     data = data.where(F.col(labels).isNotNull())
-    snaps = label_snapshots(control, rows_per_range=rows_per_range)
-    if snaps is None:
+    scratch = Scratch(data.sparkSession, "annotate")
+    edits, clears = effective_edits(control)
+    edits = scratch.keep(edits)
+    timeline = control_timeline(edits, clears, scratch, rows_per_range=rows_per_range)
+    if timeline.isEmpty():
+        scratch.drop_all()
         return data
-    instant = epoch_micros(data, ts)
-    binned = _bins(snaps)
-    if strategy == "auto":
-        size = binned.groupBy("_bin").agg(F.count(F.lit(1)).alias("n"), F.sum(_row_bytes()).alias("b"))
-        size = size.agg(F.max("n").alias("n"), F.sum("b").alias("b")).first()
-        fits = (size["b"] or 0) <= broadcast_bytes and (size["n"] or 0) <= max_per_bin
-        strategy = "bins" if fits else "merge"
-    if strategy == "bins":
-        row_bin = _bin_of(instant, snaps)
-        found = data.withColumn("_us", instant).join(
-            F.broadcast(binned),
-            (row_bin == F.col("_bin")) & (F.col("_us") > F.col("_lo")) & (F.col("_us") <= F.col("_hi")),
-            "left",
-        )
+    rows = data.withColumn("_us", epoch_micros(data, ts))
+    bins = _bins(timeline, broadcast_bytes, max_per_bin) if strategy == "auto" else None
+    if bins:
+        table, row_bin = bins
+        between = (row_bin == F.col("_bin")) & (F.col("_us") > F.col("_lo")) & (F.col("_us") <= F.col("_hi"))
+        placed = rows.join(F.broadcast(table), between, "left")
     else:
-        state = _state_by_instant(data.select(instant.alias("_us")), snaps, rows_per_range)
-        found = data.withColumn("_us", instant).join(state, "_us", "left")
-    # What a row keeps of its own, then what the state adds: the row's few labels are all that is
-    # looked at here, since the snapshot says ready-made which names it decides on.
-    edited = F.map_concat(without_keys(F.col(labels), F.col("_hide")), F.col("_add"))
-    new_labels = F.when(F.col("_add").isNull(), F.col(labels)).otherwise(edited)
-    return found.select(*[new_labels.alias(c) if c == labels else F.col(f"`{c}`") for c in data.columns])
-
-
-def _row_bytes() -> Column:
+        placed = rows.join(scratch.keep(_last_instants(rows.select("_us"), timeline, scratch, rows_per_range)), "_us", "left")
+    names = placed.where("_lo is not null").select("_lo", F.explode_outer(F.map_keys(labels)).alias("name"))
+    states = label_states(scratch.keep(names.distinct()), edits, timeline, scratch, rows_per_range=rows_per_range)
     texts = F.concat(F.map_keys("_add"), F.map_values("_add"), F.col("_hide"))
-    return F.aggregate(texts, F.lit(64).cast("bigint"), lambda n, s: n + F.octet_length(s) + 16)
-
-
-def _bin_width(snaps: Snapshots) -> int:
-    return max(1, (snaps.last - snaps.first) // (2 * snaps.instants))
-
-
-def _bin_of(us: Column, snaps: Snapshots) -> Column:
-    """Equal bins over the control period; whatever lies outside falls in the nearest edge bin."""
-    width = F.lit(_bin_width(snaps))
-    inside = F.least(F.greatest(us, F.lit(snaps.first)), F.lit(snaps.last + 1))
-    return F.call_function("div", inside - snaps.first, width)
-
-
-def _bins(snaps: Snapshots) -> DataFrame:
-    """One row per bin a snapshot reaches into: at most three per instant over all."""
-    lo, hi = F.col("lo"), F.coalesce(F.col("hi"), F.lit(2**63 - 1).cast("bigint"))
-    return snaps.rows.select(
-        lo.alias("_lo"),
-        hi.alias("_hi"),
-        F.col("add").alias("_add"),
-        F.col("hide").alias("_hide"),
-        F.explode(F.sequence(_bin_of(lo + 1, snaps), _bin_of(hi, snaps))).alias("_bin"),
-    )
-
-
-def _state_by_instant(times: DataFrame, snaps: Snapshots, rows_per_range: int) -> DataFrame:
-    """``_us, _add, _hide`` for every distinct sample instant that has a state.
-
-    The snapshots and the merged instants are read several times below, so each is written to a
-    scratch table once.
-    """
-    states = written(snaps.rows, "snapshots")
-    marks = states.select(F.col("lo").alias("_us"), F.col("lo"))
-    # Instants that leave an empty state have no snapshot, but they end one all the same.
-    ends = states.select(F.col("hi").alias("_us"), F.col("hi").alias("lo")).where(F.col("hi").isNotNull())
-    marks = marks.union(ends.join(marks.select("_us"), "_us", "left_anti"))
-    times = times.where(F.col("_us") > snaps.first).distinct()
-    points = written(times.select("_us", F.lit(None).cast("bigint").alias("lo")).union(marks), "instants")
-
-    cuts = cut_points(points, "_us", points.count(), rows_per_range)
-    points = points.withColumn("part", range_index(F.col("_us"), cuts))
-    # At one instant the sample comes first: an action takes effect only after its own time.
-    order = Window.partitionBy("part").orderBy("_us", F.col("lo").isNotNull())
-    running = F.last("lo", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    if cuts:
-        latest = {r["part"]: r["lo"] for r in points.groupBy("part").agg(F.max("lo").alias("lo")).collect()}
-        carried: list[int | None] = [None]
-        for p in range(len(cuts)):
-            known = latest.get(p)
-            carried.append(known if known is not None else carried[-1])
-        running = F.coalesce(running, lookup(F.col("part"), carried))
-    resolved = (
-        points.withColumn("at", running)
-        .where(F.col("lo").isNull() & F.col("at").isNotNull())
-        .select("_us", F.col("at").alias("lo"))
-    )
-    return resolved.join(states, "lo").select("_us", F.col("add").alias("_add"), F.col("hide").alias("_hide"))
+    bytes_ = F.aggregate(texts, F.lit(64).cast("bigint"), lambda n, s: n + F.octet_length(s) + 16)
+    small = (states.agg(F.sum(bytes_)).first()[0] or 0) <= broadcast_bytes
+    found = placed.join(F.broadcast(states) if small else states, "_lo", "left")
+    # What a row keeps of its own, then what the state adds.
+    own = F.map_filter(labels, lambda k, _: ~F.array_contains("_hide", k) & ~F.map_contains_key("_add", k))
+    new_labels = F.when(F.col("_add").isNull(), F.col(labels)).otherwise(F.map_concat(own, "_add"))
+    return found.select(*[new_labels.alias(c) if c == labels else F.col(f"`{c}`") for c in data.columns])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -15,6 +16,8 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     its machines share by default, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all machines share")
@@ -22,8 +25,43 @@ def scratch_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one run of an operator in the shared folder.
+
+    ``keep`` computes a table once, safe against lost executors; ``drop`` removes it. What the operator's
+    result still reads is removed when the process ends, as nothing else can tell when it has been read.
+    """
+
+    def __init__(self, spark: SparkSession, purpose: str):
+        self.spark, self.purpose = spark, purpose
+        self.folders: list[str] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        folder = scratch_folder(self.spark, self.purpose)
+        df.write.parquet(folder)
+        self.folders.append(folder)
+        atexit.register(_remove, self.spark, folder)
+        table = self.spark.read.schema(df.schema).parquet(folder)
+        table._scratch_folder = folder
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Removes tables that no result still to be computed reads."""
+        for table in tables:
+            _remove(self.spark, table._scratch_folder)
+
+    def drop_all(self) -> None:
+        for folder in self.folders:
+            _remove(self.spark, folder)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    if spark.sparkContext._jsc is None:  # the session has ended before
+        return
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` as a table in a scratch folder: computed once, and safe against lost executors."""
-    folder = scratch_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    """``df`` as a table in a scratch folder, computed once."""
+    return Scratch(df.sparkSession, purpose).keep(df)

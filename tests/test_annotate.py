@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from meterloom.operators.annotate import annotate, label_snapshots
+from meterloom.operators.annotate import annotate, control_timeline, effective_edits, label_states
+from meterloom.scratch import Scratch
 
 T0 = dt.datetime(2024, 1, 1)
 CONTROL = "ts timestamp, seq long, action string, name string, value string"
@@ -60,7 +61,7 @@ def random_case(seed, rows, actions, names, span):
     return data, control
 
 
-@pytest.mark.parametrize("strategy", ["bins", "merge"])
+@pytest.mark.parametrize("strategy", ["auto", "merge"])
 @pytest.mark.parametrize("rows_per_range", [1_000_000, 9])
 def test_random_edits_equal_a_fold(spark, strategy, rows_per_range):
     data, control = random_case(7, 300, 120, ["host", "phase", "run", "gpu"], 400)
@@ -112,7 +113,7 @@ def test_small_cases(spark, actions, want):
 def test_an_action_at_the_rows_own_instant_comes_too_late(spark):
     control = [(T0, 0, "set", "a", "1")]
     data = [(1, T0, {"host": "h"}), (2, T0 + dt.timedelta(microseconds=1), {"host": "h"})]
-    for strategy in ("bins", "merge"):
+    for strategy in ("auto", "merge"):
         assert run(spark, data, control, strategy=strategy) == {1: {"host": "h"}, 2: {"host": "h", "a": "1"}}
 
 
@@ -129,8 +130,39 @@ def test_small_control_is_broadcast_and_rows_stay_put(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_snapshots_leave_out_empty_states(spark):
+def states(spark, control, own):
+    scratch = Scratch(spark, "test")
+    edits, clears = effective_edits(spark.createDataFrame(control, CONTROL))
+    timeline = control_timeline(edits, clears, scratch)
+    us = lambda t: int(t.replace(tzinfo=dt.timezone.utc).timestamp() * 1_000_000)
+    own = spark.createDataFrame([(us(t), name) for t, name in own], "_lo bigint, name string")
+    return label_states(own, edits, timeline, scratch).collect()
+
+
+def test_states_only_for_instants_that_rows_find(spark):
+    day = dt.timedelta(days=1)
+    control = [(T0 + i * day, i, "set", f"n{i}", "1") for i in range(50)]
+    control += [(T0 + i * day, 100 + i, "delete", f"d{i}", None) for i in range(50)]
+    got = states(spark, control, [(T0 + 9 * day, "d3"), (T0 + 9 * day, "d30"), (T0 + 9 * day, "host")])
+    assert len(got) == 1
+    assert sorted(got[0]["_add"]) == sorted(f"n{i}" for i in range(10)) and got[0]["_hide"] == ["d3"]
+
+
+def test_states_leave_out_instants_that_change_nothing(spark):
     control = [(T0, 0, "set", "a", "1"), (T0 + dt.timedelta(seconds=9), 1, "clear", None, None)]
-    snaps = label_snapshots(spark.createDataFrame(control, CONTROL))
-    rows = snaps.rows.select("rank", F.col("add")["a"].alias("a")).collect()
-    assert [(r.rank, r.a) for r in rows] == [(1, "1")] and snaps.instants == 2
+    got = states(spark, control, [(T0, "host"), (T0 + dt.timedelta(seconds=9), "host")])
+    assert [r["_add"] for r in got] == [{"a": "1"}]
+
+
+def test_thousands_of_ranges(spark):
+    data, control = random_case(5, 1500, 1200, ["host", "phase", "run"], 100_000)
+    assert run(spark, data, control, strategy="merge", rows_per_range=1) == fold(data, control)
+
+
+def test_many_names_and_few_rows(spark):
+    hour = dt.timedelta(hours=1)
+    control = [(T0 + i * hour, 3 * i, "set", f"n{i}", str(i)) for i in range(4000)]
+    control += [(T0 + (i + 24) * hour, 3 * i + 1, "unset", f"n{i}", None) for i in range(4000)]
+    control += [(T0 + i * hour, 3 * i + 2, "delete", f"d{i}", None) for i in range(4000)]
+    data = [(i, T0 + 400 * i * hour, {"host": "h", f"d{i}": "x", f"d{3000 + i}": "y"}) for i in range(10)]
+    assert run(spark, data, control) == fold(data, control)
