@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -6,7 +8,7 @@ from pyspark.sql import types as T
 
 from meterloom.operators.conform import conform
 from meterloom.operators.health import freshness, latency_summary
-from meterloom.operators.series import assemble_series, series_row_errors, to_series_rows
+from meterloom.operators.series import assemble_series, series_row_errors, summarize_series, to_series_rows
 
 T0 = dt.datetime(2024, 1, 1)
 SAMPLE = "name string, metric_type string, ts timestamp, value double, labels map<string,string>"
@@ -48,6 +50,37 @@ def test_hot_groups_are_dealt_without_loss(spark):
     hot = [len(r.samples) for r in got if r.labels[0].value == "hot"]
     assert len(hot) > 5 and max(hot) < 80
     assert all(r.part == 0 for r in got if r.labels[0].value != "hot")
+    spans = sorted((r.part, r.samples[0].timestamp, r.samples[-1].timestamp) for r in got if r.labels[0].value == "hot")
+    assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+
+
+def test_hot_groups_are_cut_in_time_order(spark):
+    rng = random.Random(3)
+    rows = [sample("hot", int(rng.random() ** 3 * 5000), float(i)) for i in range(3000)] + [sample("cold", 1, 1.0)]
+    got = assemble_series(spark.createDataFrame(rows, SAMPLE), max_samples=100).collect()
+    hot = sorted((r for r in got if r.labels[0].value == "hot"), key=lambda r: r.part)
+    assert sorted(s.value for r in hot for s in r.samples) == [float(i) for i in range(3000)]
+    assert all(len(r.samples) <= 100 for r in hot) and len({r.part for r in hot}) == len(hot)
+    assert all(a.samples[-1].timestamp <= b.samples[0].timestamp for a, b in zip(hot, hot[1:]))
+
+
+def test_assembly_reads_its_input_once(spark, tmp_path):
+    path = str(tmp_path / "in")
+    spark.createDataFrame([sample("hot", i, 1.0) for i in range(50)], SAMPLE).write.parquet(path)
+    got = assemble_series(spark.read.parquet(path), max_samples=10)
+    assert "tmp_path" not in got._jdf.queryExecution().toString() and path not in got._jdf.queryExecution().toString()
+
+
+def test_summary_of_odd_values(spark):
+    rows = [sample(n, i, v) for n, vs in {"big": [1e23, 1e23], "nan": [1.0, float("nan")], "inf": [1.0, float("inf")], "small": [4e-7, 4e-7], "tiny": [1e-9]}.items() for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, SAMPLE)
+    got = {r.labels[0].value: r.total for r in summarize_series(df).collect()}
+    assert got["big"] == 2e23 and math.isnan(got["nan"]) and got["inf"] == math.inf and got["small"] == 8e-7 and got["tiny"] == 1e-9
+    exact = {r.labels[0].value: (r.total, r.left_out) for r in summarize_series(df, scale=2).collect()}
+    assert exact["nan"][1] == 1 and exact["inf"][1] == 1 and float(exact["inf"][0]) == 1.0
+    # what is beyond 28 digits is left out and counted, not an error
+    exact = {r.labels[0].value: (r.total, r.left_out) for r in summarize_series(df, scale=6).collect()}
+    assert exact["big"] == (None, 2)
 
 
 def test_latency_ranks_and_truncation(spark):
