@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -53,16 +54,12 @@ def decoded_series(payloads: DataFrame) -> DataFrame:
                         break
                 content = pa.decompress(bytes(body), decompressed_size=size, codec="snappy", asbytes=True)
                 for ts in request.FromString(content).timeseries:
-                    stamps = [s.timestamp for s in ts.samples]
-                    rows.append(
-                        (
-                            ",".join(f"{p.name}={p.value}" for p in ts.labels),
-                            len(stamps),
-                            min(stamps),
-                            max(stamps),
-                            sum(round(s.value * 100) for s in ts.samples),
-                        )
-                    )
+                    stamps = np.fromiter((s.timestamp for s in ts.samples), np.int64, len(ts.samples))
+                    values = np.fromiter((s.value for s in ts.samples), np.float64, len(ts.samples))
+                    # only finite values have cents
+                    cents = int(np.rint(100 * values[np.isfinite(values)]).sum())
+                    name = ",".join(f"{p.name}={p.value}" for p in ts.labels)
+                    rows.append((name, len(stamps), int(stamps.min()), int(stamps.max()), cents))
             yield pd.DataFrame(rows, columns=["series", "n", "first_ms", "last_ms", "cents"])
 
     schema = "series string, n bigint, first_ms bigint, last_ms bigint, cents bigint"

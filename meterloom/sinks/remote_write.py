@@ -79,7 +79,7 @@ def _requests(batches: Iterator[pa.RecordBatch], max_samples: int) -> Iterator[_
         return _Request(pa.compress(b"".join(parts), codec="snappy", asbytes=True), len(parts), n_samples, last_ms)
 
     for batch in batches:
-        for message, n, newest in _series_messages(batch):
+        for message, n, newest in _series_messages(batch, max_samples):
             if parts and n_samples + n > max_samples:
                 yield close()
                 parts, n_samples, last_ms = [], 0, None
@@ -90,8 +90,11 @@ def _requests(batches: Iterator[pa.RecordBatch], max_samples: int) -> Iterator[_
         yield close()
 
 
-def _series_messages(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
-    """Protobuf message, sample count and newest instant of each series with samples."""
+def _series_messages(batch: pa.RecordBatch, max_samples: int = MAX_SAMPLES) -> Iterator[tuple[bytes, int, int]]:
+    """Protobuf message, sample count and newest instant of each series with samples.
+
+    A series of more than ``max_samples`` is several messages with the same labels, in the order of its samples.
+    """
     samples = batch.column("samples")
     offsets = np.asarray(samples.offsets)
     flat = samples.values
@@ -99,12 +102,14 @@ def _series_messages(batch: pa.RecordBatch) -> Iterator[tuple[bytes, int, int]]:
     values = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
     buffer, starts = _sample_messages(stamps, values)
     for i, labels in enumerate(batch.column("labels").to_pylist()):
-        lo, hi = int(offsets[i]), int(offsets[i + 1])
-        if lo == hi:
+        begin, end = int(offsets[i]), int(offsets[i + 1])
+        if begin == end:
             continue
         head = b"".join(_field(1, _field(1, p["name"].encode()) + _field(2, _text(p["value"]))) for p in labels)
-        body = head + buffer[starts[lo] : starts[hi]].tobytes()
-        yield _field(1, body), hi - lo, int(stamps[lo:hi].max())
+        for lo in range(begin, end, max_samples):
+            hi = min(lo + max_samples, end)
+            body = head + buffer[starts[lo] : starts[hi]].tobytes()
+            yield _field(1, body), hi - lo, int(stamps[lo:hi].max())
 
 
 def _text(value: str | None) -> bytes:

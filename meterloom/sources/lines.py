@@ -29,20 +29,27 @@ def kafka_lines(df: DataFrame) -> DataFrame:
 def read_lines_after_header(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read_lines` without the first line of each file.
 
-    The CSV scan drops the header; with a separator that text does not contain, and no quote
-    character, it hands over every other line in one piece for the ordinary line rules.
+    The CSV scan drops the header and leaves every other line whole: a line that holds the separator, which
+    text hardly ever does, comes as the record that does not fit one column.
     """
-    return (
-        spark.read.option("header", True)
-        .option("enforceSchema", True)
-        .option("sep", "\x01")
-        .option("quote", "")
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .schema("value string")
-        .csv(path)
-        .select("value", F.col("_metadata.file_path").alias("_file"))
-    )
+    return _after_header(spark.read).csv(path).select(F.coalesce("_whole", "value").alias("value"), F.col("_metadata.file_path").alias("_file"))
+
+
+def stream_lines_after_header(spark: SparkSession, path: str, *, files_per_batch: int | None = None) -> DataFrame:
+    """As :func:`read_lines_after_header` for files that keep arriving, each whole when it does."""
+    reader = _after_header(spark.readStream)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.csv(path).select(F.coalesce("_whole", "value").alias("value"), F.col("_metadata.file_path").alias("_file"))
+
+
+def _after_header(reader):
+    options = {
+        "header": True, "enforceSchema": True, "sep": "\x01", "quote": "", "escape": "", "comment": "", "mode": "PERMISSIVE",
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "columnNameOfCorruptRecord": "_whole", "maxCharsPerColumn": -1,
+        "nullValue": "\x01", "emptyValue": "",
+    }
+    return reader.options(**options).schema("value string, _whole string")
 
 
 def stamp_origin(df: DataFrame, tag: str) -> DataFrame:

@@ -6,20 +6,22 @@ query reads it afresh for every micro-batch, because a file list taken once woul
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.annotate import annotate
-from ..operators.health import latency_counts, latency_figures
-from ..operators.quarantine import split_rejects
-from ..operators.series import assemble_series
+from ..operators.health import LAG_WARNING_MS, latency_counts, latency_figures
+from ..operators.quarantine import keep_type, split_rejects
+from ..operators.series import assemble_series, series_row_errors
 from ..schemas import CONTROL_SCHEMA
+from ..scratch import written
 from ..sinks.files import check_codec, file_rows
 from ..sources.delimited import read_delimited
-from ..specs import FieldSpec
+from ..specs import SAMPLE_TYPE, FieldSpec
 
 # The fields of a control line. A ``clear`` line needs some name as well.
 CONTROL_FIELDS = (
@@ -32,36 +34,58 @@ Sink = Callable[[DataFrame, int], None]
 
 
 def control_rows(lines: DataFrame, *, line: str = "value", sep: str = ",") -> DataFrame:
-    """Control lines as rows of the control table; rejected lines are left out.
+    """Control lines as rows of the control table; rejected lines are left out, see :func:`split_control`."""
+    return split_control(lines, line=line, sep=sep)[0]
+
+
+def split_control(lines: DataFrame, *, line: str = "value", sep: str = ",") -> tuple[DataFrame, DataFrame]:
+    """``(rows of the control table, rejected lines)`` of a batch of control lines.
 
     ``ts`` and ``seq`` columns of the input are kept. Without them a line counts from the time of
-    its (micro-)batch, in the order the batch read it.
+    its (micro-)batch, in the order of its file's name and its place in the file.
     """
-    good, _ = split_rejects(read_delimited(lines, CONTROL_FIELDS, sep=sep, line=line, inbound="control"))
-    if "ts" not in good.columns:
+    kept = [c for c in ("ts", "seq") if c in lines.columns]
+    if "seq" not in kept:
+        order = ["_file"] if "_file" in lines.columns else []
+        placed = lines.withColumn("_place", F.monotonically_increasing_id())
+        lines = placed.orderBy(*order, "_place").withColumn("seq", F.monotonically_increasing_id()).drop("_place")
+    good, bad = split_rejects(read_delimited(lines, CONTROL_FIELDS, sep=sep, line=line, inbound="control"))
+    if "ts" not in kept:
         good = good.withColumn("ts", F.current_timestamp())
-    if "seq" not in good.columns:
-        good = good.withColumn("seq", F.monotonically_increasing_id())
-    return good.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONTROL_SCHEMA])
+    return good.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in CONTROL_SCHEMA]), bad
 
 
 def read_control(spark: SparkSession, path: str) -> DataFrame:
     """The control table as it is now.
 
-    A table that :func:`append_control` writes lists its files in a log of its own, so rows that
-    something else adds to the folder are not seen; send them through the control query.
+    It has a folder for each micro-batch of :func:`append_control`; files that something else puts beside them count too.
     """
-    return spark.read.schema(CONTROL_SCHEMA).parquet(path)
+    return spark.read.schema(CONTROL_SCHEMA).option("recursiveFileLookup", True).parquet(path)
 
 
 def append_control(
-    lines: DataFrame, path: str, checkpoint: str, *, trigger: dict | None = None
+    lines: DataFrame, path: str, checkpoint: str, *, rejects: Sink | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Start the query that appends arriving control lines to the control table."""
+    """Start the query that appends arriving control lines to the control table.
+
+    A micro-batch that is run again replaces its own folder. Lines of later micro-batches come later in order.
+    Rejected lines go to ``rejects``, by default to a folder beside the table.
+    """
+    rejects = rejects or parquet_sink(f"{path.rstrip('/')}-rejects")
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
+        try:
+            rows, bad = split_control(batch)
+            if "seq" not in batch.columns:
+                rows = rows.withColumn("seq", F.lit(batch_id).cast("bigint") * (1 << 44) + F.col("seq"))
+            rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+            rejects(bad.withColumnsRenamed({"_raw": "line", "_error": "error", "_file": "file"}), batch_id)
+        finally:
+            batch.unpersist()
+
     return (
-        control_rows(lines)
-        .writeStream.format("parquet")
-        .option("path", path)
+        lines.writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
@@ -79,21 +103,44 @@ def parquet_sink(path: str, *, codec: str = "snappy", epoch_millis: bool = False
     return write
 
 
-def remote_write_sink(chunk: str = "1 day", **options: str) -> Sink:
-    """A sink that assembles each micro-batch and sends it; options as for the data source."""
+def remote_write_sink(
+    chunk: str = "1 day",
+    *,
+    record_type: str = SAMPLE_TYPE,
+    rejects: Sink | None = None,
+    report: Callable[[dict], None] | None = None,
+    **options: str,
+) -> Sink:
+    """A sink that assembles each micro-batch and sends it; options as for the data source.
+
+    Only rows of ``record_type`` are sent. Those that lack a part of a sample go to ``rejects`` with ``error``. ``report``
+    is told what happened: ``batch_id``, rows ``kept`` and ``dropped`` by type, ``incomplete`` rows, the newest
+    instant sent (``last_ms``), how far it lies behind (``lag_ms``) and whether that is too far (``lagging``).
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        series = assemble_series(batch, chunk)
-        series.write.format("remote_write").options(**options).mode("append").save()
+        typed, by_type = keep_type(batch, record_type)
+        judged = series_row_errors(typed)
+        error = F.col("_error")
+        seen = Observation()
+        newest = F.max(F.when(error.isNull(), F.unix_millis("ts")))
+        judged = judged.observe(seen, F.count_if(error.isNotNull()).alias("incomplete"), newest.alias("last_ms"))
+        # one table: assembly, rejects and counts all come from the same reading
+        table = written(judged, "remote-write")
+        good = table.where(error.isNull()).drop("_error")
+        assemble_series(good, chunk).write.format("remote_write").options(**options).mode("append").save()
+        if rejects is not None:
+            rejects(table.where(error.isNotNull()).withColumnRenamed("_error", "error"), batch_id)
+        if report is not None:
+            last = seen.get["last_ms"]
+            lag = None if last is None else int(time.time() * 1000) - last
+            report({"batch_id": batch_id, **by_type.get, **seen.get, "lag_ms": lag, "lagging": lag is not None and lag > LAG_WARNING_MS})
 
     return write
 
 
 def fan_out(batch: DataFrame, batch_id: int, sinks: Sequence[Sink]) -> None:
     """Write one micro-batch to every sink, computing it once."""
-    if len(sinks) == 1:
-        sinks[0](batch, batch_id)
-        return
     batch.persist()
     try:
         for sink in sinks:

@@ -6,11 +6,24 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from meterloom.operators.annotate import annotate
+from meterloom.operators.quarantine import split_rejects
+from meterloom.operators.samples import to_samples
 from meterloom.operators.series import assemble_series
-from meterloom.plans.decode import _write_request
+from meterloom.plans.decode import _write_request, decoded_series
 from meterloom.sinks import remote_write as rw
 from meterloom.sinks.files import check_codec, to_json_records, write_parquet
-from meterloom.streaming.pipeline import append_control, parquet_sink, read_control, start_pipeline, stream_latency
+from meterloom.sources.delimited import read_delimited
+from meterloom.sources.lines import stream_lines, stream_lines_after_header
+from meterloom.specs import FieldSpec, SeriesSpec
+from meterloom.streaming.pipeline import (
+    append_control,
+    parquet_sink,
+    read_control,
+    remote_write_sink,
+    start_pipeline,
+    stream_latency,
+)
 
 T0 = dt.datetime(2024, 1, 1)
 SAMPLE = "name string, metric_type string, ts timestamp, value double, labels map<string,string>"
@@ -35,6 +48,12 @@ def test_messages_equal_the_protobuf_library():
     assert len(got.timeseries) == 2 and len(got.timeseries[1].samples) == 1
 
 
+def test_a_long_series_is_cut_into_requests(spark):
+    series = assemble_series(samples(spark, 400), "1 day").coalesce(1)
+    got = rw.remote_write_payloads(series, max_samples=30).collect()
+    assert sum(r.n_samples for r in got) == 400 and max(r.n_samples for r in got) <= 30
+
+
 def test_requests_stay_below_the_sample_limit(spark):
     series = assemble_series(samples(spark, 40), "10 seconds").coalesce(1)
     got = rw.remote_write_payloads(series, max_samples=10).collect()
@@ -119,3 +138,67 @@ def test_stream_latency_emits_closed_windows(spark, tmp_path):
     query.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "o")).collect()
     assert [(r["count"], r.p50_ms) for r in got] == [(3, 2)]
+
+
+def test_control_lines_as_plain_text_over_restarts(spark, tmp_path):
+    lines, control = str(tmp_path / "lines"), str(tmp_path / "control")
+
+    def arrive(*rows):
+        spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1).write.mode("append").text(lines)
+        append_control(stream_lines(spark, lines), control, str(tmp_path / "c")).awaitTermination()
+        return [(r.action, r.name, r.value) for r in read_control(spark, control).orderBy("ts", "seq").collect()]
+
+    first = [("set", "a", "1"), ("unset", "a", None), ("set", "a", "2")]
+    assert arrive("set,a,1", "unset,a", "nonsense", "set,a,2") == first
+    assert arrive("delete,b", "clear,all") == first + [("delete", "b", None), ("clear", "all", None)]
+    assert arrive(",,") == first + [("delete", "b", None), ("clear", "all", None)]
+    rejects = spark.read.parquet(control + "-rejects").collect()
+    assert sorted(r.line for r in rejects) == [",,", "nonsense"] and all(r.error for r in rejects)
+    data = [(1, dt.datetime.now() + dt.timedelta(days=1), {"a": "own"})]
+    got = annotate(spark.createDataFrame(data, "id int, ts timestamp, labels map<string,string>"), read_control(spark, control)).first()
+    assert got.labels == {"a": "own"}
+
+
+def test_header_file_stream_to_both_sinks(spark, tmp_path):
+    """Header files and control lines in, annotated samples out to Parquet and remote write."""
+    rw.register(spark)
+    files, lines, control, out, sent = (tmp_path / n for n in ("files", "lines", "control", "out", "sent"))
+    for folder in (files, lines, sent):
+        folder.mkdir()
+    (lines / "a.txt").write_text("set,phase,warm\n")
+    stream = stream_lines(spark, str(lines)).withColumn("ts", F.lit(T0))
+    append_control(stream, str(control), str(tmp_path / "c1")).awaitTermination()
+    fields = [FieldSpec("host"), FieldSpec("at", "datetime"), FieldSpec("load", "float"), FieldSpec("temp", "float", optional=True)]
+    spec = SeriesSpec(labels=["host"], values=["load", "temp"], timestamp="at")
+    reports = []
+
+    def run(number, *rows):
+        (files / f"{number}.csv").write_text("host,at,load,temp\n" + "".join(r + "\n" for r in rows))
+        good, _ = split_rejects(read_delimited(stream_lines_after_header(spark, str(files)), fields, units=False))
+        samples = to_samples(good, spec)
+        remote = remote_write_sink(
+            rejects=parquet_sink(str(tmp_path / "bad")), report=reports.append,
+            address="http://example.invalid", auth="bearer", token=str(sent), post="tests.fake_post:accept",
+        )
+        start_pipeline(samples, [parquet_sink(str(out)), remote], str(tmp_path / "c2"), control_path=str(control)).awaitTermination()
+
+    run(1, "n1,2024-01-01 00:00:05,1.5,20", "n2,2024-01-01 00:00:06,nan,", "bad line")
+    run(2, "n1,2024-01-01 00:00:07,2.5,21")
+    rows = spark.read.parquet(str(out)).collect()
+    assert {(r.name, r.labels["host"], r.labels["phase"]) for r in rows} == {("load", "n1", "warm"), ("temp", "n1", "warm"), ("load", "n2", "warm")}
+    bodies = spark.createDataFrame([(p.read_bytes(),) for p in sent.glob("*.bin")], "payload binary")
+    assert decoded_series(bodies).agg(F.sum("n")).first()[0] == len(rows) == 5
+    assert [r["kept"] for r in reports] == [3, 2] and all(r["lagging"] and not r["incomplete"] for r in reports)
+
+
+def test_remote_write_keeps_one_type(spark, tmp_path):
+    rw.register(spark)
+    df = samples(spark).withColumn("_type", F.when(F.col("value") != 3, "TimeseriesRecord").otherwise("Other"))
+    df = df.withColumn("metric_type", F.when(F.col("value") != 4, F.col("metric_type")))
+    reports, (bad, sent) = [], (tmp_path / "bad", tmp_path / "sent")
+    sent.mkdir()
+    remote_write_sink(
+        rejects=parquet_sink(str(bad)), report=reports.append, address="http://x.invalid", auth="bearer", token=str(sent), post="tests.fake_post:accept"
+    )(df, 7)
+    assert (reports[0]["kept"], reports[0]["dropped"], reports[0]["incomplete"], reports[0]["last_ms"]) == (5, 1, 1, 1704067205000)
+    assert [r.error for r in spark.read.parquet(str(bad)).collect()] == ["sample without metric_type"]
