@@ -8,14 +8,22 @@ from pyspark.sql import types as T
 
 from ..functions.text import is_number_struct, ntz_as_utc, value_text
 
+# What a field of the target schema can be.
+_TARGETS = (
+    T.StringType, T.IntegralType, T.FractionalType, T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType,
+    T.BooleanType, T.ArrayType, T.MapType, T.StructType,
+)
+
 
 def conform(df: DataFrame, schema: T.StructType | str) -> DataFrame:
     """``df`` with exactly the fields of ``schema``.
 
     A missing field is NULL and an extra one is dropped. A text field takes the text of any
-    value. Whole-number fields take whole numbers and, as epoch milliseconds, instants; fields of
-    other types take values of their own type only, and a value of any other type becomes NULL.
-    Units are dropped from numbers. Lists, maps and structs are fitted element by element.
+    value. Whole-number fields of any width take whole numbers, and bigint fields instants as epoch
+    milliseconds; real-number and decimal fields take real numbers and decimals, timestamp fields instants,
+    date and boolean fields their own. A value out of the field's range, or of another kind, becomes NULL.
+    Units are dropped from numbers. Lists, maps and structs are fitted element by element. A
+    target type beyond these is an error.
     """
     if isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
@@ -36,14 +44,20 @@ def _fit(c: Column, have: T.DataType, want: T.DataType) -> Column:
         c, have = c["value"], have["value"].dataType
     if isinstance(want, T.StringType):
         return value_text(c, have)
-    if isinstance(want, T.LongType):
-        if isinstance(have, T.TimestampType):
+    if not isinstance(want, _TARGETS):
+        raise ValueError(f"cannot fit values into {want.simpleString()}")
+    if isinstance(want, T.IntegralType):
+        if isinstance(want, T.LongType) and isinstance(have, T.TimestampType):
             return F.unix_millis(c)
-        if isinstance(have, T.TimestampNTZType):
+        if isinstance(want, T.LongType) and isinstance(have, T.TimestampNTZType):
             return F.unix_millis(ntz_as_utc(c))
-        return c.cast(want) if isinstance(have, T.IntegralType) else null
-    if isinstance(want, T.DoubleType):
-        return c.cast(want) if isinstance(have, T.FractionalType) and not isinstance(have, T.DecimalType) else null
+        return c.try_cast(want) if isinstance(have, T.IntegralType) else null
+    if isinstance(want, (T.FractionalType, T.DecimalType)):
+        return c.try_cast(want) if isinstance(have, (T.FractionalType, T.DecimalType)) else null
+    if isinstance(want, T.TimestampType) and isinstance(have, T.TimestampNTZType):
+        return ntz_as_utc(c)
+    if isinstance(want, T.TimestampNTZType) and isinstance(have, T.TimestampType):
+        return F.timestamp_add("MICROSECOND", F.unix_micros(c), F.lit("1970-01-01 00:00:00").cast(want))
     if isinstance(want, T.ArrayType) and isinstance(have, T.ArrayType):
         return F.transform(c, lambda x: _fit_element(x, have.elementType, want.elementType))
     if isinstance(want, T.MapType) and isinstance(have, T.MapType):

@@ -71,9 +71,10 @@ _ANNOTATE_LINES = _annotated(
 
 _ANNOTATE_EVENTS = _annotated(
     _EVENT_CONTROL,
-    f"(SELECT *, CAST(user_id AS VARCHAR) AS uid FROM {_EVENTS})",
+    f"""(SELECT 'value' AS name, us, CAST(user_id AS VARCHAR) AS uid, event_type, CAST(round(value * 100) AS BIGINT) AS cents FROM {_EVENTS}
+  UNION ALL SELECT 'k', us, CAST(user_id AS VARCHAR), event_type, k * 100 FROM {_EVENTS})""",
     {"user_id": "uid", "event_type": "event_type"},
-    "d.us AS ts_us, d.k",
+    "d.name, d.us AS ts_us, d.cents",
 )
 
 _EVENT_SAMPLES = f"""(
@@ -122,7 +123,10 @@ FROM {_LINES} WHERE error IS NULL""",
 SELECT error, 'inbound:delimited' AS inbound, count(*) AS n FROM {_LINES} WHERE error IS NOT NULL GROUP BY error""",
     "csv_quoted_fields": """
 SELECT p_partkey, replace(p_name, ' ', ',') AS p_name, p_brand, CAST(p_size AS BIGINT) AS p_size FROM part""",
-    "csv_header_files": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+    "csv_header_files": r"""
+SELECT CASE WHEN c_custkey % 7 = 0 THEN '#' ELSE '' END || c_custkey AS key,
+  c_name || CASE c_custkey % 5 WHEN 0 THEN chr(1) WHEN 1 THEN '\' WHEN 2 THEN 'it''s' WHEN 3 THEN '#' ELSE 'a' || chr(1) || 'b\' END AS name,
+  c_acctbal AS balance, c_mktsegment AS segment FROM customer""",
     "graphite_ingest": f"""
 SELECT metric, value, ts_us, 'event=' || event_id || CASE WHEN k < 10 THEN '' ELSE ',k=' || k END || ',user=' || user_attr AS attrs,
   event_id AS event FROM {_METRIC_LINES}""",
@@ -193,15 +197,29 @@ SELECT name, metric_type, status, count(*) AS n, min(v) AS least, max(v) AS grea
     "annotate_asof": _ANNOTATE_LINES,
     "annotate_asof_merge": _ANNOTATE_LINES,
     "annotate_delete_over_set": _ANNOTATE_EVENTS,
-    "stream_equals_batch": _ANNOTATE_EVENTS,
+    "annotate_many_names": """
+WITH o AS (SELECT o_orderkey, o_custkey, epoch_us(o_orderdate) AS us FROM orders),
+per_us AS (SELECT us, count(*) AS n FROM o GROUP BY us),
+l AS (SELECT *, epoch_us(l_shipdate) AS us FROM lineitem),
+live AS (SELECT d.us, CAST(sum(p.n) AS BIGINT) AS n FROM (SELECT DISTINCT us FROM l) d JOIN per_us p ON p.us < d.us AND d.us <= p.us + 86400000000 GROUP BY 1),
+j AS (SELECT l.*, coalesce(live.n, 0) AS n_live, coalesce(o.us < l.us, false) AS begun, coalesce(o.us < l.us AND l.us <= o.us + 86400000000, false) AS set_now, o.o_custkey
+  FROM l LEFT JOIN live ON live.us = l.us LEFT JOIN o ON o.o_orderkey = l.l_orderkey)
+SELECT l_orderkey, l_linenumber, l_partkey, n_live + 1 + CAST(NOT begun AS BIGINT) + CAST(NOT set_now AS BIGINT) AS n_labels,
+  CASE WHEN NOT begun THEN 'x' END AS own_d, CASE WHEN set_now THEN CAST(o_custkey AS VARCHAR) ELSE 'own' END AS own_o FROM j""",
+    "stream_equals_batch": f"""
+WITH x AS ({_ANNOTATE_EVENTS})
+SELECT *, 'out' AS sink FROM x UNION ALL SELECT name, ts_us // 1000 * 1000, cents, labels, 'copy' FROM x""",
     "series_assembled": f"""
 SELECT {_LINE_SERIES} AS series, (epoch_us(l_shipdate) // 1000) // {_DAY} * {_DAY} AS chunk_ms, 0 AS part, count(*) AS n,
   string_agg((epoch_us(l_shipdate) // 1000) || ':' || CAST(round(l_extendedprice * 100) AS BIGINT), ' ' ORDER BY l_shipdate, l_extendedprice) AS samples
 FROM lineitem GROUP BY 1, 2""",
     "series_hot_parts": f"""
 SELECT {_LINE_SERIES} AS series, (epoch_us(l_shipdate) // 1000) // {_MONTH} * {_MONTH} AS chunk_ms, count(*) AS n, count(*) > 50 AS dealt,
-  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, max((epoch_us(l_shipdate) // 1000)) AS last_ms
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents, min((epoch_us(l_shipdate) // 1000)) AS first_ms, max((epoch_us(l_shipdate) // 1000)) AS last_ms, 0 AS overlaps
 FROM lineitem GROUP BY 1, 2""",
+    "series_rejects": f"""
+SELECT CASE WHEN value = 7 THEN 'sample without name' WHEN value = 13 THEN 'sample without labels' WHEN value = 9 THEN 'sample without ts'
+  WHEN value = 11 THEN 'sample without value' END AS error, count(*) AS n FROM {_EVENT_SAMPLES} GROUP BY 1""",
     "latency_summary_10s": _latency(10_000),
     "latency_summary_day": _latency(_DAY),
     "freshness_by_source": """
@@ -215,7 +233,9 @@ UNION ALL SELECT s_name, s_acctbal, NULL, 'inbound:suppliers' FROM supplier""",
     "conform_schema": f"""
 SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS o_custkey, CAST(NULL AS BIGINT) AS o_orderstatus,
   {_PLAIN_DOUBLE.format("o_totalprice")} AS o_totalprice, (epoch_us(o_orderdate) // 1000) AS o_orderdate, o_orderpriority,
-  CAST(NULL AS VARCHAR) AS o_comment, CAST(NULL AS DOUBLE) AS o_weight FROM orders""",
+  CAST(NULL AS VARCHAR) AS o_comment, CAST(NULL AS DOUBLE) AS o_weight, TRY_CAST(o_orderkey AS SMALLINT) AS small,
+  TRY_CAST(o_orderkey * 1000000 AS INTEGER) AS whole, CAST(round(CAST(round(o_totalprice * 4) / 4 AS FLOAT) * 4) AS BIGINT) AS single,
+  CAST(CAST(o_totalprice AS DECIMAL(20,4)) AS DECIMAL(12,2)) AS exact, (epoch_us(o_orderdate) // 1000) AS at, CAST(NULL AS INTEGER) AS wrong FROM orders""",
     "json_records_roundtrip": f"""
 SELECT event_id, event_type, CASE WHEN event_type NOT IN ('error', 'view') THEN value END AS value,
   CASE WHEN event_type <> 'error' THEN event_type = 'view' END AS infinite,
@@ -227,7 +247,7 @@ SELECT event_id, event_type, CASE WHEN event_type NOT IN ('error', 'view') THEN
 SELECT name, metric_type, ms AS ts, value, 'event_type=' || event_type || ',user_id=' || user_id AS labels FROM {_EVENT_SAMPLES}""",
     "remote_write_payload": f"""
 SELECT {_LINE_SERIES} AS series, count(*) AS n, min((epoch_us(l_shipdate) // 1000)) AS first_ms, max((epoch_us(l_shipdate) // 1000)) AS last_ms,
-  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem GROUP BY 1""",
+  CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS cents FROM lineitem WHERE l_extendedprice >= 1000 GROUP BY 1""",
     "control_lines": f"""
 SELECT action, name, count(*) AS n, count(value) AS with_value, max(seq) AS last_seq FROM {_ORDER_CONTROL}
 WHERE name IS NOT NULL GROUP BY action, name""",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,7 +17,7 @@ from ..operators.conform import conform
 from ..operators.health import freshness, latency_summary
 from ..operators.quarantine import keep_type, reject_summary, split_rejects
 from ..operators.samples import metrics_to_samples, sample_errors, to_samples
-from ..operators.series import assemble_series, labels_text, summarize_series
+from ..operators.series import assemble_series, labels_text, series_row_errors, summarize_series
 from ..scratch import scratch_folder
 from ..sinks.files import to_json_records, write_parquet
 from ..sources.delimited import read_delimited
@@ -48,7 +48,7 @@ def series_flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
         "last_ms",
         "min_value",
         "max_value",
-        (F.col("total") * 100).cast("bigint").alias("total_cents"),
+        F.round(F.col("total") * 100).cast("bigint").alias("total_cents"),
     )
 
 
@@ -95,14 +95,15 @@ def csv_quoted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def csv_header_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with a header line, written by Spark from customers and read back."""
+    """Text files with a header line and odd characters, written by Spark from customers and read back."""
     folder = scratch_folder(spark, "csv")
-    t.table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").write.option(
-        "header", True
-    ).csv(folder)
-    fields = [
-        FieldSpec("c_custkey", "int"), FieldSpec("c_name"), FieldSpec("c_acctbal", "float"), FieldSpec("c_mktsegment"),
-    ]
+    odd = F.element_at(F.array(*[F.lit(x) for x in ("\x01", "\\", "it's", "#", "a\x01b\\")]), (F.col("c_custkey") % 5 + 1).cast("int"))
+    line = F.concat_ws(",", F.concat(F.when(F.col("c_custkey") % 7 == 0, F.lit("#")).otherwise(F.lit("")), "c_custkey"), F.concat("c_name", odd), "c_acctbal", "c_mktsegment")
+    # a line before each line: files of one record and its header
+    rows = t.table(spark, sf_dir, "customer").repartition(16, "c_custkey").withColumn("line", line).sortWithinPartitions("c_custkey")
+    headed = rows.withColumn("part", F.spark_partition_id()).groupBy("part").agg(F.collect_list("line").alias("lines"))
+    headed.select(F.explode(F.concat(F.array(F.lit("key,name\x01,balance,segment")), "lines")).alias("value")).write.text(folder)
+    fields = [FieldSpec("key"), FieldSpec("name"), FieldSpec("balance", "float"), FieldSpec("segment")]
     good, _ = split_rejects(read_delimited(read_lines_after_header(spark, folder), fields, units=False))
     return good.drop("_inbound", "_file")
 
@@ -352,9 +353,26 @@ def annotate_asof_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotate_delete_over_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events under the edits that the same events stand for; equal times come too late."""
-    samples = t.event_samples(spark, sf_dir).where(F.col("name") == "k")
-    rows = annotate(samples, t.event_control(spark, sf_dir))
-    return rows.select(F.unix_micros("ts").alias("ts_us"), F.col("value").cast("bigint").alias("k"), t.map_text().alias("labels"))
+    return _annotated_events(annotate(t.event_samples(spark, sf_dir), t.event_control(spark, sf_dir)))
+
+
+def _annotated_events(rows: DataFrame) -> DataFrame:
+    return rows.select("name", F.unix_micros("ts").alias("ts_us"), t.cents("value").alias("cents"), t.map_text().alias("labels"))
+
+
+def annotate_many_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order sets a label of its own for a day and deletes another for good."""
+    rows = t.table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate",
+        F.create_map(
+            F.lit("flag"), "l_returnflag", F.concat(F.lit("d"), "l_orderkey"), F.lit("x"), F.concat(F.lit("o"), "l_orderkey"), F.lit("own")
+        ).alias("labels"),
+    )
+    got = annotate(rows, t.many_names_control(spark, sf_dir), ts="l_shipdate")
+    of = lambda prefix: F.try_element_at("labels", F.concat(F.lit(prefix), "l_orderkey"))
+    return got.select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.size("labels").cast("bigint").alias("n_labels"), of("d").alias("own_d"), of("o").alias("own_o")
+    )
 
 
 def _series_text(series: DataFrame) -> DataFrame:
@@ -376,20 +394,38 @@ def series_assembled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def series_hot_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A1: groups above a limit are dealt into parts and lose nothing."""
+    """A1: groups above a limit are cut into parts in time order that lose nothing."""
     parts = assemble_series(t.line_samples(spark, sf_dir), "30 days", max_samples=50)
+    ends = parts.select(
+        "labels", "chunk_start", "part", F.size("samples").alias("n"),
+        F.aggregate("samples", F.lit(0).cast("bigint"), lambda total, x: total + t.cents(x["value"])).alias("cents"),
+        F.get("samples", F.lit(0))["timestamp"].alias("first_ms"), F.element_at("samples", -1)["timestamp"].alias("last_ms"),
+    )
+    ahead = F.lag("last_ms").over(Window.partitionBy("labels", "chunk_start").orderBy("part"))
     return (
-        parts.select("labels", "chunk_start", "part", F.explode("samples").alias("s"))
+        ends.withColumn("overlaps", F.coalesce(ahead > F.col("first_ms"), F.lit(False)))
         .groupBy(labels_text(F.col("labels")).alias("series"), t.ms("chunk_start").alias("chunk_ms"))
         .agg(
-            F.count(F.lit(1)).alias("n"),
-            (F.countDistinct("part") > 1).alias("dealt"),
-            F.sum(t.cents(F.col("s.value"))).alias("cents"),
-            F.max("s.timestamp").alias("last_ms"),
+            F.sum("n").alias("n"),
+            (F.count(F.lit(1)) > 1).alias("dealt"),
+            F.sum("cents").alias("cents"),
+            F.min("first_ms").alias("first_ms"),
+            F.max("last_ms").alias("last_ms"),
+            F.count_if("overlaps").alias("overlaps"),
         )
     )
 
 
+def series_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A2: samples that lack a part, by what they lack."""
+    k = F.col("value")
+    samples = t.event_samples(spark, sf_dir).select(
+        F.when(k != 7, F.col("name")).alias("name"), "metric_type", F.when(k != 9, F.col("ts")).alias("ts"),
+        F.when(k != 11, k).alias("value"), F.when(k != 13, F.col("labels")).alias("labels"),
+    )
+    return series_row_errors(samples).groupBy(F.col("_error").alias("error")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def _latency(spark: SparkSession, sf_dir: str, window: str) -> DataFrame:
     rows = t.events_wide(spark, sf_dir).withColumn("elapsed", F.round(F.col("value") * 1000).cast("bigint"))
     out = latency_summary(rows, key="event_type", ts="ts", elapsed_us="elapsed", window=window)
@@ -435,11 +471,17 @@ def fan_in_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conform_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K2: orders in another schema."""
-    return conform(
-        t.table(spark, sf_dir, "orders"),
+    orders = t.table(spark, sf_dir, "orders").withColumns({
+        "small": F.col("o_orderkey"), "whole": F.col("o_orderkey") * 1_000_000, "single": F.round(F.col("o_totalprice") * 4) / 4,
+        "exact": F.col("o_totalprice").cast("decimal(20,4)"), "at": F.col("o_orderdate"), "wrong": F.col("o_totalprice"),
+    })
+    rows = conform(
+        orders,
         "o_orderkey bigint, o_custkey string, o_orderstatus bigint, o_totalprice string, o_orderdate bigint, "
-        "o_orderpriority string, o_comment string, o_weight double",
+        "o_orderpriority string, o_comment string, o_weight double, small smallint, whole int, single float, "
+        "exact decimal(12,2), at timestamp, wrong int",
     )
+    return rows.withColumns({"single": F.round(F.col("single").cast("double") * 4).cast("bigint"), "at": t.ms("at")})
 
 
 def json_records_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,13 +512,17 @@ def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remote_write_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series encoded as requests, decoded again and counted per series."""
+    """Rows of one type as requests of bounded size, decoded again and counted per series."""
     from ..sinks.remote_write import remote_write_payloads
     from .decode import decoded_series
 
-    series = assemble_series(t.line_samples(spark, sf_dir), "30 days")
-    rows = decoded_series(remote_write_payloads(series, max_samples=2000))
-    return rows.groupBy("series").agg(
+    limit = 50
+    other = F.when(F.col("value") < 1000, F.lit("Other")).otherwise(F.col("_type"))
+    samples, _ = keep_type(t.line_samples(spark, sf_dir).withColumn("_type", other))
+    payloads = remote_write_payloads(assemble_series(samples, "30 days"), max_samples=limit)
+    rows = payloads.select("payload", (F.col("n_samples") > limit).alias("over"))
+    over = rows.where("over").select(F.lit("over the limit").alias("series"), F.lit(1).alias("n"), F.lit(0).alias("first_ms"), F.lit(0).alias("last_ms"), F.lit(0).alias("cents"))
+    return decoded_series(rows).union(over).groupBy("series").agg(
         F.sum("n").cast("bigint").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"),
         F.sum("cents").cast("bigint").alias("cents"),
     )
@@ -493,7 +539,7 @@ def control_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The annotation of events as a stream with two sinks."""
+    """The annotation of events as a stream with two sinks, which both hold all of it."""
     folder = scratch_folder(spark, "stream")
     t.event_control(spark, sf_dir).write.parquet(f"{folder}/control")
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
@@ -502,12 +548,13 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), "ts")).alias("ts"),
         "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
-    samples = to_samples(wide, t.EVENT_SPEC).where(F.col("name") == "k")
+    samples = to_samples(wide, t.EVENT_SPEC)
     sinks = [parquet_sink(f"{folder}/out"), parquet_sink(f"{folder}/copy", epoch_millis=True)]
     query = start_pipeline(samples, sinks, f"{folder}/checkpoint", control_path=f"{folder}/control")
     query.awaitTermination()
-    rows = spark.read.parquet(f"{folder}/out")
-    return rows.select(F.unix_micros("ts").alias("ts_us"), F.col("value").cast("bigint").alias("k"), t.map_text().alias("labels"))
+    first = _annotated_events(spark.read.parquet(f"{folder}/out")).withColumn("sink", F.lit("out"))
+    copy = spark.read.parquet(f"{folder}/copy").withColumn("ts", F.timestamp_millis("ts"))
+    return first.union(_annotated_events(copy).withColumn("sink", F.lit("copy")))
 
 
 def number_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -568,7 +615,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         graphite_rejects, graphite_samples, text_files_ingest, cast_number_unit, cast_bool_words,
         cast_datetime_patterns, label_text_render, map_array_text, sanitize_names, samples_all_or_nothing,
         sample_reject_reasons, samples_unit_extra_labels, metric_types, annotate_asof, annotate_asof_merge,
-        annotate_delete_over_set, series_assembled, series_hot_parts, latency_summary_10s, latency_summary_day,
+        annotate_delete_over_set, annotate_many_names, series_assembled, series_hot_parts, series_rejects, latency_summary_10s, latency_summary_day,
         freshness_by_source, type_filter_counts, fan_in_union, conform_schema, json_records_roundtrip,
         parquet_roundtrip, remote_write_payload, control_lines, stream_equals_batch, number_forms, datetime_parts,
         map_accessors, array_accessors, schema_inference,

@@ -49,10 +49,6 @@ def line_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return to_samples(table(spark, sf_dir, "lineitem"), LINE_SPEC)
 
 
-def series_name(df_name: str = "name", labels: str = "labels") -> Column:
-    return labels_text(label_pairs(F.col(df_name), F.col(labels)))
-
-
 def map_text(labels: str = "labels") -> Column:
     """A label map as ``a=1,b=2``."""
     return labels_text(F.sort_array(F.map_entries(labels)).cast("array<struct<name:string,value:string>>"))
@@ -95,3 +91,15 @@ def event_control(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type") == "error", "event_type").otherwise(F.col("event_type")).alias("name"),
         k.cast("string").alias("value"),
     )
+
+
+def many_names_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order sets a label of its own, unsets it a day later, and deletes another name for good."""
+    orders = table(spark, sf_dir, "orders")
+    key, day = F.col("o_orderkey"), F.make_dt_interval(F.lit(1))
+    actions = F.array(
+        F.struct(F.col("o_orderdate").alias("ts"), (3 * key).alias("seq"), F.lit("set").alias("action"), F.concat(F.lit("o"), key).alias("name"), F.col("o_custkey").cast("string").alias("value")),
+        F.struct((F.col("o_orderdate") + day).alias("ts"), (3 * key + 1).alias("seq"), F.lit("unset").alias("action"), F.concat(F.lit("o"), key).alias("name"), F.lit(None).cast("string").alias("value")),
+        F.struct(F.col("o_orderdate").alias("ts"), (3 * key + 2).alias("seq"), F.lit("delete").alias("action"), F.concat(F.lit("d"), key).alias("name"), F.lit(None).cast("string").alias("value")),
+    )
+    return orders.select(F.inline(actions))
