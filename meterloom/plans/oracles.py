@@ -243,6 +243,10 @@ SELECT event_id, event_type, CASE WHEN event_type NOT IN ('error', 'view') THEN
     WHEN us % 1000 = 0 THEN '.' || lpad(CAST(us % 1000000 // 1000 AS VARCHAR), 3, '0')
     ELSE '.' || lpad(CAST(us % 1000000 AS VARCHAR), 6, '0') END || ' UTC' AS ts,
   'Event' AS type FROM {_EVENTS}""",
+    "json_rejects": f"""
+SELECT error, count(*) AS n, CAST(sum(CASE WHEN error IS NULL THEN kk END) AS BIGINT) AS k FROM (
+  SELECT CASE WHEN event_type = 'view' OR (event_type = 'click' AND k > 0) OR k % 10 = 0 THEN 'does not fit the schema' END AS error,
+    CASE event_type WHEN 'error' THEN -1 ELSE k END AS kk FROM {_EVENTS}) GROUP BY 1""",
     "parquet_roundtrip": f"""
 SELECT name, metric_type, ms AS ts, value, 'event_type=' || event_type || ',user_id=' || user_id AS labels FROM {_EVENT_SAMPLES}""",
     "remote_write_payload": f"""

@@ -504,6 +504,20 @@ def json_records_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def json_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON records whose numbers are written as text or exceed 64 bits."""
+    k = F.col("k").cast("string")
+    number = (
+        F.when(F.col("event_type") == "view", F.concat(F.lit('"'), k, F.lit('"')))
+        .when(F.col("event_type") == "click", F.concat(k, F.lit("00000000000000000000000")))
+        .when(F.col("event_type") == "error", F.lit("18446744073709551615"))
+        .otherwise(k)
+    )
+    line = F.concat(F.lit('{"k":'), number, F.lit(',"v":'), F.when(F.col("k") % 10 == 0, F.lit('"NaN"')).otherwise(F.lit("1")), F.lit("}"))
+    rows = read_json_records(t.events_wide(spark, sf_dir).select(line.alias("value")), "k bigint, v double")
+    return rows.groupBy(F.col("_error").alias("error")).agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"))
+
+
 def parquet_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples written with millisecond times and read back."""
     folder = scratch_folder(spark, "samples")
@@ -616,7 +630,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         cast_datetime_patterns, label_text_render, map_array_text, sanitize_names, samples_all_or_nothing,
         sample_reject_reasons, samples_unit_extra_labels, metric_types, annotate_asof, annotate_asof_merge,
         annotate_delete_over_set, annotate_many_names, series_assembled, series_hot_parts, series_rejects, latency_summary_10s, latency_summary_day,
-        freshness_by_source, type_filter_counts, fan_in_union, conform_schema, json_records_roundtrip,
+        freshness_by_source, type_filter_counts, fan_in_union, conform_schema, json_records_roundtrip, json_rejects,
         parquet_roundtrip, remote_write_payload, control_lines, stream_equals_batch, number_forms, datetime_parts,
         map_accessors, array_accessors, schema_inference,
     )

@@ -279,6 +279,17 @@ def test_json_records(spark):
     assert [r["_error"] for r in rows] == [None, None, None] + ["not a JSON object"] * 2 + ["does not fit the schema"] * 2
 
 
+def test_json_numbers_as_written(spark):
+    texts = ['{"a":12,"b":3}', '{"a":"12"}', '{"b":"NaN"}', '{"b":"-Infinity"}', '{"a":1e3}', '{"a":99999999999999999999999}', '{"a":null,"b":null}', '{"b":true}']
+    rows = read_json_records(lines(spark, *texts), "a bigint, b double").orderBy("i").collect()
+    assert [r["_error"] is None for r in rows] == [True, False, False, True, False, False, True, False]
+    assert (rows[0].a, rows[0].b, rows[3].b, rows[6].a) == (12, 3.0, float("-inf"), None)
+    nested = ['{"l":[1,18446744073709551615,null],"m":{"x":2},"s":{"n":-1,"f":[0.5]}}', '{"l":["1"]}', '{"m":{"x":"2"}}', '{"s":{"n":1.5}}', '{"s":{"f":["NaN"]}}']
+    rows = read_json_records(lines(spark, *nested), "l array<bigint>, m map<string,bigint>, s struct<n:bigint,f:array<double>>").orderBy("i").collect()
+    assert [r["_error"] is None for r in rows] == [True, False, False, False, False]
+    assert (rows[0].l, rows[0].m, rows[0].s.n, rows[0].s.f) == ([1, -1, None], {"x": 2}, -1, [0.5])
+
+
 def test_origin_and_fan_in(spark):
     a = stamp_origin(spark.sql("select 1 x"), "one")
     b = stamp_origin(spark.sql("select 2 x, 'k' y, 'inbound:first' _inbound"), "two")
