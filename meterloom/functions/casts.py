@@ -13,13 +13,9 @@ from pyspark.sql import types as T
 from .once import out_of_line
 from .text import NON_SPACE, SPACE, is_number_struct, rfc3339_text, strip, value_text
 
-# Number grammar. The plain forms need one match; anything rarer takes a second one.
-PLAIN = {
-    "int": r"^[+-]?[0-9]+\z",
-    "float": r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z",
-}
-WITH_UNIT = {
-    "int": rf"^([+-]?[0-9]+){SPACE}+({NON_SPACE}+)\z",
+# Number grammar, for what is not plainly a number.
+FULL = {
+    "int": rf"^([+-]?[0-9]+)(?:{SPACE}+({NON_SPACE}+))?\z",
     "float": (
         r"^([+-]?(?:(?i:infinity|inf|nan)|(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?))"
         rf"(?:{SPACE}+({NON_SPACE}+))?\z"
@@ -72,7 +68,7 @@ def parse_number(c: Column, kind: str) -> Column:
 
 
 def _number(text: Column, kind: str) -> Column:
-    sql_type, full = {"int": "bigint", "float": "double"}[kind], WITH_UNIT[kind]
+    sql_type, full = {"int": "bigint", "float": "double"}[kind], FULL[kind]
 
     def rarer(x: Column) -> Column:
         # Spark reads "nan" but not a signed one.
@@ -80,8 +76,14 @@ def _number(text: Column, kind: str) -> Column:
         unit = F.nullif(F.regexp_extract(x, full, 2), F.lit(""))
         return F.when(x.rlike(full), F.struct(number.try_cast(sql_type).alias("value"), unit.alias("unit")))
 
-    plain = F.struct(text.try_cast(sql_type).alias("value"), F.lit(None).cast("string").alias("unit"))
-    return F.when(text.rlike(PLAIN[kind]), plain).otherwise(out_of_line(text, rarer))
+    # The cast is laxer than the grammar only in outer blanks, type suffixes, named values and hexadecimal digits.
+    value = text.try_cast(sql_type)
+    first, last = F.ascii(text), F.ascii(F.substring(text, -1, 1))
+    plain = value.isNotNull() & first.between(43, 57) & (last.between(48, 57) | (last == 46))
+    if kind == "float":
+        plain = plain & ~text.contains("x") & ~text.contains("X")
+    number = F.struct(value.alias("value"), F.lit(None).cast("string").alias("unit"))
+    return F.when(plain, number).otherwise(out_of_line(text, rarer))
 
 
 def is_missing(c: Column, kind: str) -> Column:
@@ -125,9 +127,15 @@ def parse_datetime(c: Column) -> Column:
 
 
 def _datetime(text: Column) -> Column:
-    # The commonest shape needs one match, then a cast that reads it as it is.
+    # The commonest shape needs only a look at its separators, the next a match; then a cast reads it as it is.
+    at = lambda i: F.substring(text, i, 1)
+    day = at(5)
+    usual = (
+        (F.length(text) == 19) & day.isin("-", "/") & (at(8) == day) & (at(11) == " ") & (at(14) == ":") & (at(17) == ":")
+        & F.ascii(text).between(48, 57) & F.ascii(at(19)).between(48, 57)
+    )
     plain = F.translate(text, "/", "-").try_cast("timestamp")
-    return F.when(text.rlike(YMD_PLAIN_RE), plain).otherwise(out_of_line(text, _rarer_datetime))
+    return F.when(usual, plain).when(text.rlike(YMD_PLAIN_RE), plain).otherwise(out_of_line(text, _rarer_datetime))
 
 
 def _rarer_datetime(x: Column) -> Column:

@@ -32,15 +32,9 @@ def map_of(entries: dict[str, Column]) -> Column:
 def last_wins_map(keys: Column, values: Column) -> Column:
     """A map of two parallel arrays where a repeated key keeps its last value."""
     rk, rv = F.reverse(keys), F.reverse(values)
-    first_seen = F.filter(
-        F.arrays_zip(rk.alias("k"), rv.alias("v")),
-        lambda e, i: F.array_position(rk, e["k"]) == i + 1,
-    )
-    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(
-        F.map_from_arrays(
-            F.transform(first_seen, lambda e: e["k"]), F.transform(first_seen, lambda e: e["v"])
-        )
-    )
+    different = F.array_distinct(rk)
+    last = F.transform(different, lambda k: F.get(rv, F.array_position(rk, k).cast("int") - 1))
+    return F.when(F.size(different) == F.size(keys), F.map_from_arrays(keys, values)).otherwise(F.map_from_arrays(different, last))
 
 
 def parse_map_text(c: Column) -> Column:

@@ -17,8 +17,12 @@ SPACE_CHARS = (
 
 
 def strip(c: Column) -> Column:
-    """Trim Unicode white space from both ends."""
-    return F.trim(c, F.lit(SPACE_CHARS))
+    """Trim Unicode white space from both ends.
+
+    Text that begins and ends with a visible ASCII character, as nearly all does, is passed through.
+    """
+    edges = F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
+    return F.when(edges, c).otherwise(F.trim(c, F.lit(SPACE_CHARS)))
 
 
 def split_delimited(line: Column, sep: str = ",") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,13 @@ _PARSED = {
 }
 
 
+def _plain_double(text: Column) -> Column:
+    """A number without unit; the cast is laxer only in suffixes, named values and hexadecimal digits."""
+    value, last = text.try_cast("double"), F.ascii(F.substring(text, -1, 1))
+    plain = F.ascii(text).between(43, 57) & (last.between(48, 57) | (last == 46)) & ~text.contains("x") & ~text.contains("X")
+    return F.when(plain, value).otherwise(F.when(text.rlike(FLOAT_RE), text).try_cast("double"))
+
+
 def read_graphite(
     lines: DataFrame,
     attr_types: Mapping[str, str] | None = None,
@@ -61,12 +68,13 @@ def read_graphite(
         *kept,
         "_raw",
         part[0].alias("metric"),
-        F.when(part[1].rlike(FLOAT_RE), part[1]).try_cast("double").alias("value"),
+        _plain_double(part[1]).alias("value"),
         F.regexp_extract(part[2], "^[0-9]+", 0).alias("_epoch"),
         # Text right after the epoch leaves no room for attributes.
         F.when(part[2].rlike(r"^[0-9]+\z"), F.coalesce(part[3], F.lit(""))).otherwise(F.lit("")).alias("_attrs"),
     )
-    pairs = split.select(
+    # each pair is matched once, then cut at its first equals sign
+    pairs = split.withColumn("_pairs", F.regexp_extract_all("_attrs", F.lit(PAIR_RE), F.lit(0))).select(
         *kept,
         "_raw",
         "metric",
@@ -76,8 +84,8 @@ def read_graphite(
         F.when(F.col("_attrs") == "", F.create_map().cast("map<string,string>"))
         .otherwise(
             last_wins_map(
-                F.regexp_extract_all("_attrs", F.lit(PAIR_RE), F.lit(1)),
-                F.regexp_extract_all("_attrs", F.lit(PAIR_RE), F.lit(2)),
+                F.transform("_pairs", lambda x: F.ltrim(F.substring_index(x, "=", 1), F.lit(" \t"))),
+                F.transform("_pairs", lambda x: F.substr(x, F.position(F.lit("="), x) + 1)),
             )
         )
         .alias("attrs"),
