@@ -16,14 +16,15 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from meterloom.plans.queries import QUERIES  # noqa: E402
+from meterloom.plans.queries import QUERIES, ingest_cases  # noqa: E402
+from meterloom.scratch import scratch_folder  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 RUNS = int(os.environ.get("BENCH_RUNS", "1"))
 HEADLINE = (
     "series_flagship,csv_ingest_typed,csv_ingest_rejects,graphite_ingest,graphite_samples,samples_unit_extra_labels,"
-    "metric_types,annotate_asof,annotate_asof_merge,annotate_delete_over_set,series_assembled,series_hot_parts,"
+    "metric_types,annotate_asof,annotate_asof_merge,annotate_delete_over_set,annotate_many_names,series_assembled,series_hot_parts,"
     "latency_summary_10s,latency_summary_day,conform_schema,json_records_roundtrip,parquet_roundtrip,"
     "remote_write_payload"
 )
@@ -42,6 +43,22 @@ def session() -> SparkSession:
     )
 
 
+def ingest_rates(spark: SparkSession) -> dict[str, int]:
+    """Lines a second and core of the two ingests, over many text files that are written beforehand."""
+    rates = {}
+    for name, (lines, read) in ingest_cases(spark, SF_DIR).items():
+        folder = scratch_folder(spark, "bench")
+        lines.select("value").repartition(8 * int(CPUS)).write.text(folder)
+        n, best = lines.count(), float("inf")
+        for _ in range(3):
+            start = time.perf_counter()
+            read(spark.read.text(folder)).write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        rates[name] = round(n / best / int(CPUS))
+        print(f"{name} {rates[name]} lines/s/core", file=sys.stderr, flush=True)
+    return rates
+
+
 def main() -> None:
     spark = session()
     spark.sparkContext.setLogLevel("ERROR")
@@ -51,6 +68,8 @@ def main() -> None:
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds: dict[str, float] = {}
     for name in names:
+        if name == "ingest":
+            continue
         best = float("inf")
         for run in range(RUNS + 1):
             start = time.perf_counter()
@@ -60,6 +79,7 @@ def main() -> None:
                 best = min(best, took)
         seconds[name] = round(best, 3)
         print(f"{name} {best:.2f}", file=sys.stderr, flush=True)
+    rates = ingest_rates(spark) if "BENCH_QUERIES" not in os.environ or "ingest" in names else {}
     print(
         json.dumps(
             {
@@ -69,6 +89,7 @@ def main() -> None:
                 "queries": seconds,
                 "sf": os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf"),
                 "cpus": int(CPUS),
+                "lines_per_sec_core": rates,
             }
         )
     )

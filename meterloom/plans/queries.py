@@ -622,6 +622,21 @@ def schema_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ingest_cases(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, Callable[[DataFrame], DataFrame]]]:
+    """Lines and how they are read, for measuring ingest alone."""
+    graphite = _event_lines(spark, sf_dir)
+    once = graphite.select(F.regexp_replace("value", " user=again$", "").alias("value"))
+    # as many lines of metrics as of items
+    more = spark.range(6).select(F.col("id").alias("copy"))
+    types = {"k": "int", "event": "int"}
+    return {
+        "delimited": (_lineitem_lines(spark, sf_dir), lambda df: read_delimited(df, LINE_FIELDS, units=False)),
+        "graphite_repeated_key": (graphite.crossJoin(more), lambda df: read_graphite(df, types)),
+        "graphite_plain": (once.crossJoin(more), lambda df: read_graphite(df, types)),
+        "graphite_untyped": (once.crossJoin(more), lambda df: read_graphite(df)),
+    }
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (

@@ -50,9 +50,12 @@ class Scratch:
         for table in tables:
             _remove(self.spark, table._scratch_folder)
 
-    def drop_all(self) -> None:
+    def drop_all(self, *but: DataFrame) -> None:
+        """Removes all tables of the run, but those given."""
+        read = {table._scratch_folder for table in but}
         for folder in self.folders:
-            _remove(self.spark, folder)
+            if folder not in read:
+                _remove(self.spark, folder)
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
