@@ -11,11 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
-from .vectors import BLOCK_ROWS, asked_vectors, matrix, one_of_each, ranked, scan_blocks, usable_vectors
+from ..scratch import Scratch
+from .vectors import BLOCK_ROWS, asked_vectors, kth_scores, matrix, one_of_each, ranked, scan_blocks, usable_vectors
 
 #: Trees; vectors that the forest is fitted on at most; rows a leaf; rows of the sample a leaf at least.
 TREES, SAMPLE, LEAF_ROWS, LEAF_SAMPLE = 8, 20_000, 512, 8
+#: Leaves that a query opens first, for a bound on what the others must offer.
+FIRST = 12
 
 
 @dataclass
@@ -112,7 +114,8 @@ def nearest(
 
     The forest is fitted on at most ``sample`` vectors (the first by a hash) and so bounded; every row is
     dealt to a leaf of every tree. A leaf's rows are cut into blocks of about ``BLOCK_ROWS`` by a hash, each
-    query is sent to all blocks of the leaves it opens, and scored exactly against them.
+    query is sent to all blocks of the leaves it opens, and scored exactly against them. From its first ``FIRST``
+    leaves it has a score that rows of the others must reach, so each query gets few rows from each.
     """
     spark, c = df.sparkSession, F.col
     scratch = Scratch(spark, "ann")
@@ -146,14 +149,22 @@ def nearest(
     wanted = asked_vectors(rows, distinct, query)
     opened = leaves_to_open(trees * leaves)
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = shared.value.lifted(matrix(batch.column("v")), rows=False)
-            for i in range(len(x)):
-                to = [(t * leaves + leaf) * most + b for t, leaf in shared.value.nearest_leaves(x[i], opened) for b in range(blocks.get(t * leaves + leaf, 0))]
-                one = batch.slice(i, 1).take(pa.array(np.zeros(len(to), np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), one.column("id"), one.column("v")], names=["block", "id", "v"])
-
-    asked = distinct.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "v").mapInArrow(sent, f"block bigint, id bigint, v {kind}")
-    asked = asked.select("block", F.lit(0.0).alias("key"), "id", "v", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-    return ranked(scan_blocks(held, asked, inner_products, k + 1, "double"), distinct, wanted, k)
+    def sent(count: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x = shared.value.lifted(matrix(batch.column("v")), rows=False)
+                for i in range(len(x)):
+                    to = [(t * leaves + leaf) * most + b for t, leaf in shared.value.nearest_leaves(x[i], count) for b in range(blocks.get(t * leaves + leaf, 0))]
+                    one = batch.slice(i, 1).take(pa.array(np.zeros(len(to), np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(to, pa.int64()), *one.columns], names=["block", "id", "v", "least"])
+
+        return run
+
+    def asked(queries: DataFrame, count: int) -> DataFrame:
+        dealt_out = queries.select("id", "v", "least").mapInArrow(sent(count), f"block bigint, id bigint, v {kind}, least double")
+        return scan_blocks(held, dealt_out.withColumns({x: F.lit(0.0) for x in ("key", "low", "high")}), inner_products, k + 1, "double")
+
+    queries = scratch.keep(distinct.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "v"))
+    first = kth_scores(asked(queries.withColumn("least", F.lit(float("-inf"))), FIRST), k + 1)
+    bounded = queries.join(first, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    return ranked(asked(bounded, opened), distinct, wanted, k)

@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from .text_hash import small_slices
 
 #: Encoded words that a Python worker remembers; a speed-up only, full caches are emptied.
-MEMORY = 1 << 18
+MEMORY = 1 << 19
 #: Units of a final byte of a word lie this far above those of the other bytes.
 _FINAL = 1 << 16
 

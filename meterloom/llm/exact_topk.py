@@ -7,11 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import Scratch
-from .vectors import BLOCK_ROWS, asked_vectors, matrix, one_of_each, ranked, scan_blocks, usable_vectors
+from ..scratch import Scratch
+from .vectors import BLOCK_ROWS, asked_vectors, kth_scores, matrix, one_of_each, ranked, scan_blocks, usable_vectors
 
 #: Pivots; rings about each pivot at most; vectors that pivots and rings are fitted on at most.
 PIVOTS, RINGS, SAMPLE = 16, 64, 20_000
@@ -118,7 +118,7 @@ def exact_topk(df: DataFrame, query: Column, k: int = 10, key: str = "vec_id", v
     held = index.join(F.broadcast(many), "ring").select((c("ring") * most + F.pmod(F.xxhash64("id"), c("blocks"))).alias("block"), "key", "id", "v")
     wanted = asked_vectors(rows, distinct, query)
     asked = scratch.keep(distinct.join(wanted.select("id").distinct(), "id", "left_semi").select("id", "v"))
-    fields = "block bigint, key double, id bigint, v array<bigint>, low double, high double"
+    fields = "block bigint, key double, id bigint, v array<bigint>, low double, high double, least double"
     names = [x.split(" ")[0] for x in fields.split(", ")]
 
     def home(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,22 +131,21 @@ def exact_topk(df: DataFrame, query: Column, k: int = 10, key: str = "vec_id", v
             outside = np.maximum(np.maximum(lows - distances, distances - highs), 0)
             chosen = np.lexsort((distances, outside))[:, 0] if n else np.empty(0, int)
             block = [rings[r] * most + i % directory[rings[r]][0] for i, r in zip(batch.column("id").to_pylist(), chosen)]
-            ends = [pa.array(np.full(n, x)) for x in (-np.inf, np.inf)]
+            ends = [pa.array(np.full(n, x)) for x in (-np.inf, np.inf, -np.inf)]
             yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(distances[np.arange(n), chosen]), batch.column("id"), batch.column("v"), *ends], names=names)
 
     first = scan_blocks(held, asked.mapInArrow(home, fields), integer_products, k + 1, "bigint")
-    nth = Window.partitionBy("query").orderBy(c("score").desc(), "id")
-    least = first.withColumn("place", F.row_number().over(nth)).where(c("place") == k + 1).select(c("query").alias("id"), c("score").cast("double").alias("least"))
+    least = kth_scores(first, k + 1)
 
     def annuli(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """To every block of every ring within the radius."""
         for batch in batches:
             x = matrix(batch.column("v"))
             distances = shared.value.distances(x, rows=False)
-            least = batch.column("least").to_numpy(zero_copy_only=False)
+            bound = np.nan_to_num(batch.column("least").to_numpy(zero_copy_only=False), nan=-np.inf)
             squares = (x * x).sum(1) + shared.value.reach**2
             # a little more, for what distances are rounded by; without a bound everything is inside
-            radius = np.sqrt(np.maximum(squares - 2 * np.nan_to_num(least, nan=-np.inf), 0)) + 1e-9 * np.sqrt(squares) + 1e-6
+            radius = np.sqrt(np.maximum(squares - 2 * bound, 0)) + 1e-9 * np.sqrt(squares) + 1e-6
             for i in range(batch.num_rows):
                 to = []
                 for ring, (n, low, high) in directory.items():
@@ -156,7 +155,7 @@ def exact_topk(df: DataFrame, query: Column, k: int = 10, key: str = "vec_id", v
                 if to:
                     one = batch.slice(i, 1).take(pa.array(np.zeros(len(to), np.int64)))
                     block, d, low, high = zip(*to)
-                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(d), one.column("id"), one.column("v"), pa.array(low), pa.array(high)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(d), one.column("id"), one.column("v"), pa.array(low), pa.array(high), pa.array(np.full(len(to), bound[i]))], names=names)
 
     bounded = asked.join(least, "id", "left")
     found = scan_blocks(held, bounded.mapInArrow(annuli, fields), integer_products, k + 1, "bigint")

@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import Scratch
 from .components import connected_components
-from .tables import Scratch
 from .text_hash import distinct_in_texts, mixed, shingle_hashes, small_slices, word_hashes
 
 #: Bands and values a band. A pair of similarity 0.8 shares no band with a chance of 1.3e-7.
@@ -244,6 +244,7 @@ def near_duplicates(
     )
     last = scratch.keep(_confirmed(rest, sets, percent))
     found = scratch.keep(connected_components(links.union(last)))
+    scratch.drop_all(rows_, reps, found)
     classes = part_of(reps.select("n_shingles", "f1", "f2", "rep"), "rep", "component_id").drop("rep")
     joined = rows_.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["n_shingles", "f1", "f2"], "left")
     component = F.when(c("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))

@@ -59,13 +59,13 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
 def scan_blocks(rows: DataFrame, queries: DataFrame, score: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, kind: str) -> DataFrame:
     """``query, id, score``: in each block the ``k`` best rows for each query that is sent to it.
 
-    ``rows`` has ``block, key, id, v``, ``queries`` ``block, key, id, v, low, high``: only rows whose ``key`` is
-    between count. A block's rows, which must be few, come first in its task and are held; its queries
+    ``rows`` has ``block, key, id, v``, ``queries`` ``block, key, id, v, low, high, least``: only rows whose ``key`` is
+    between, with scores of ``least`` or more, count. A block's rows, which must be few, come first in its task and are held; its queries
     follow in the order of their keys and stream by, any number of them. ``score`` gives the
     matrix of queries by rows.
     """
-    held = rows.select("block", F.lit(0).alias("side"), "key", "id", "v", F.lit(0.0).alias("low"), F.lit(0.0).alias("high"))
-    asked = queries.select("block", F.lit(1).alias("side"), "key", "id", "v", "low", "high")
+    held = rows.select("block", F.lit(0).alias("side"), "key", "id", "v", *[F.lit(0.0).alias(x) for x in ("low", "high", "least")])
+    asked = queries.select("block", F.lit(1).alias("side"), "key", "id", "v", "low", "high", "least")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, parts, ready = None, [], None
@@ -99,9 +99,10 @@ def scan_blocks(rows: DataFrame, queries: DataFrame, score: Callable[[np.ndarray
                 continue
             scores = score(matrix(some.column("v")), vectors[a:b])
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for q, x, y, own in zip(some.column("id").to_numpy(), first - a, last - a, scores):
-                if x < y:
-                    top = _best(ids[a + x : a + y], own[x:y], k) + x
+            for q, x, y, least, own in zip(some.column("id").to_numpy(), first - a, last - a, some.column("least").to_numpy(), scores):
+                good = np.flatnonzero(own[x:y] >= least) + x if x < y else []
+                if len(good):
+                    top = good[_best(ids[a + good], own[good], k)]
                     out.append((np.full(len(top), q), ids[a + top], own[top]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(z)) for z in zip(*out)], names=["query", "id", "score"])
@@ -110,6 +111,14 @@ def scan_blocks(rows: DataFrame, queries: DataFrame, score: Callable[[np.ndarray
     return both.mapInArrow(run, f"query bigint, id bigint, score {kind}")
 
 
+def kth_scores(found: DataFrame, k: int) -> DataFrame:
+    """``id, least``: the k-th best score that each query has so far, where it has so many."""
+    c = F.col
+    best = Window.partitionBy("query").orderBy(c("score").desc(), "id")
+    placed = found.dropDuplicates(["query", "id"]).withColumn("place", F.row_number().over(best)).where(c("place") <= k)
+    return placed.where(c("place") == k).select(c("query").alias("id"), c("score").cast("double").alias("least"))
+
+
 def ranked(found: DataFrame, distinct: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's ``k`` best rows but itself.
 
