@@ -12,6 +12,7 @@ from meterloom.llm.minhash import near_duplicates
 from meterloom.llm.mixing import mix_sources, source_counts, tempered_weights
 from meterloom.llm.queries import TEMPER, TOKENIZER
 from meterloom.llm.toxicity import train_toxicity, with_toxicity
+from meterloom.scratch import Scratch
 
 #: The classifier and the tokenizer are not expressible in SQL; the tests hold the stages against plain Python.
 ORACLE_SQL = None
@@ -62,7 +63,11 @@ STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", nea
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each keeps is a table in the shared folder, read by the next."""
+    scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for nth, (_, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
+        if nth < len(STAGES):
+            docs = scratch.keep(docs)
     return docs

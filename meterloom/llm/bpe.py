@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 
 from .text_hash import small_slices
 
-#: Encoded words that a Python worker remembers; a speed-up only, full caches are emptied.
-MEMORY = 1 << 19
+#: Encoded words that a task remembers; a speed-up only: full caches are emptied, and all when the task ends.
+MEMORY = 1 << 17
 #: Units of a final byte of a word lie this far above those of the other bytes.
 _FINAL = 1 << 16
 
@@ -104,6 +104,7 @@ class PrefixEncoder:
         self.automaton.make_automaton()
         #: whether two tokens fit side by side
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.room = MEMORY
         self.known: dict[str, bytes] = {}
         self.known_words: dict[str, bytes] = {}
 
@@ -111,6 +112,11 @@ class PrefixEncoder:
         """A pre-token as one character a byte, the last of its own kind if words have ends."""
         return word[:-1] + chr(ord(word[-1]) + _FINAL) if self.suffix and word else word
 
+    def forget(self) -> None:
+        """Gives the memory back; Python workers outlive their tasks."""
+        for memory in (self.known, self.known_words, self.pairs):
+            memory.clear()
+
     def _token_units(self, token: str) -> str:
         whole = self.suffix and token.endswith(self.suffix) and token != self.suffix
         return self._units(token[: -len(self.suffix)]) if whole else token
@@ -154,7 +160,7 @@ class PrefixEncoder:
                     pair = (tokens[end - length], token)
                     good = pairs.get(pair)
                     if good is None:
-                        if len(pairs) >= MEMORY:
+                        if len(pairs) >= self.room:
                             pairs.clear()
                         good = pairs[pair] = pair[0] >= 0 and self._fits(*pair)
                     if not good:
@@ -181,7 +187,7 @@ class PrefixEncoder:
             got = known.get(word)
             if got is None:
                 got = np.array(self.encode_word(word), "<u4").tobytes()
-                if len(known) >= MEMORY:
+                if len(known) >= self.room:
                     known.clear()
                 if len(word) <= 64:
                     known[word] = got
@@ -209,7 +215,7 @@ class PrefixEncoder:
             got = known.get(chunk)
             if got is None:
                 got = self._chunk(chunk)
-                if len(known) >= MEMORY:
+                if len(known) >= self.room:
                     known.clear()
                 if len(chunk) <= 64:
                     known[chunk] = got
@@ -236,6 +242,10 @@ class PrefixEncoder:
 class LibraryEncoder(PrefixEncoder):
     """The same text handling with the library's own BPE for each word, for writers that need no other method."""
 
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.room = 4 * MEMORY
+
     def encode_word(self, word: str) -> list[int]:
         return [token.id for token in self.library.model.tokenize(word)]
 
@@ -247,7 +257,13 @@ def library_words(path: str) -> LibraryEncoder:
 
 def library_encoder(path: str) -> Callable[[], Callable[[list[str]], list[np.ndarray]]]:
     """What a segment writer calls for its encoder: texts to ids by the tokenizers library."""
-    return lambda: lambda texts: [library_words(path).encode(x) for x in texts]
+
+    def start() -> Callable[[list[str]], list[np.ndarray]]:
+        words = library_words(path)
+        words.forget()
+        return lambda texts: [words.encode(x) for x in texts]
+
+    return start
 
 
 @lru_cache(2)
@@ -275,6 +291,7 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", text: str
                 bounds = np.append(0, np.cumsum([len(x) for x in found])).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column("key"), ids, pa.array(map(tokens.decode, found), pa.string())], names=["key", "ids", "decoded"])
+        tokens.forget()
 
     return docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)
 
@@ -295,5 +312,6 @@ def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
                 ids_hash.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 text_hash.append(hashlib.sha256(tokens.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tokens.forget()
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")

@@ -115,7 +115,7 @@ def distinct_in_texts(hashes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarra
     return hashes[new], np.searchsorted(text[new], np.arange(len(bounds)))
 
 
-def small_slices(batch: pa.RecordBatch, column: str, limit: int = 4 * STEP) -> Iterator[pa.RecordBatch]:
+def small_slices(batch: pa.RecordBatch, column: str, limit: int = STEP) -> Iterator[pa.RecordBatch]:
     """Consecutive rows of a batch with about ``limit`` bytes of text, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes)

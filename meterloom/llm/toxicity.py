@@ -124,30 +124,34 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     if len(np.unique(toxic)) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 14.0 if len(toxic) and toxic[0] else -14.0)
     # slice by slice, so that only each text's words and the subwords of different words are held
-    words, windows, per_text, parts, often = [], [], [], [], np.zeros(BUCKETS, np.int64)
+    words, windows, per_text, sizes, parts, often = [], [], [], [], [], np.zeros(BUCKETS, np.int32)
     known = np.empty(0, np.uint64)
-    for part in small_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 19):
+    for part in small_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 18):
         b = bags(part.column("text"))
         size, per_window = np.diff(b.words), np.diff(b.windows)
         with np.errstate(over="ignore"):
             nth = np.arange(len(b.buckets)) - np.repeat(b.words[:-1], size)
             names = np.add.reduceat(mixed(b.buckets.astype(np.uint64) + np.uint64(BUCKETS) * nth.astype(np.uint64)), b.words[:-1]) if len(size) else known[:0]
         in_text = np.repeat(np.repeat(np.repeat(np.arange(part.num_rows), np.diff(b.texts)), per_window), size)
-        often += np.bincount(np.unique(in_text * BUCKETS + b.buckets) % BUCKETS, minlength=BUCKETS)
+        np.add.at(often, np.unique(in_text * BUCKETS + b.buckets) % BUCKETS, 1)
         kinds, at = np.unique(names, return_index=True)
         new = ~np.isin(kinds, known)
-        known = np.append(known, kinds[new])
-        parts += [b.buckets[b.words[i] : b.words[i + 1]] for i in at[new].tolist()]
+        known, at = np.append(known, kinds[new]), at[new]
+        own = size[at]
+        parts.append(b.buckets[np.repeat(b.words[at] - (np.cumsum(own) - own), own) + np.arange(own.sum())])
+        sizes.append(own)
         words, windows, per_text = [*words, names], [*windows, per_window], [*per_text, np.diff(b.texts)]
     words, windows, per_text = np.concatenate(words), np.concatenate(windows), np.concatenate(per_text)
     order = np.argsort(known)
     kind = order[np.searchsorted(known, words, sorter=order)].astype(np.int32)
-    size = np.array([len(x) for x in parts])
+    size = np.concatenate(sizes)
+    del words, known, order
     # what is in few texts would only be learned by heart; it counts in the means but stays zero
     usual = np.flatnonzero(often >= LEAST_SHARE * len(toxic))
     row = np.full(BUCKETS, -1, np.int32)
     row[usual] = np.arange(len(usual))
-    bucket = row[np.concatenate(parts)] if parts else row[:0]
+    bucket = row[np.concatenate(parts)]
+    del parts, often, row
     of_bucket = np.repeat(np.arange(len(size), dtype=np.int32), size)[bucket >= 0]
     bucket = bucket[bucket >= 0]
     window = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
@@ -216,7 +220,7 @@ def with_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", sco
     @F.arrow_udf("double")
     def scored(texts: pa.Array) -> pa.Array:
         batch = pa.RecordBatch.from_arrays([texts], names=["text"])
-        found = [model.scores(part.column("text")) for part in small_slices(batch, "text", 1 << 20)]
+        found = [model.scores(part.column("text")) for part in small_slices(batch, "text", 1 << 18)]
         return pa.array(np.concatenate(found) if found else np.empty(0))
 
     return docs.withColumn(score, scored(F.col(text).cast("string")))
