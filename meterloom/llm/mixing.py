@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
-
-from pyspark.sql import DataFrame, Window
+import math
+from array import array
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Slots of one period of the schedule: weights are multiples of its inverse.
+#: Sources at most.
 PERIOD = 4096
 #: Documents of one source that follow each other.
 BLOCK = 32
 #: Rows that one task numbers at most, about.
 NUMBERED = 20_000
+#: Slots that one task turns into rows, and slots up to which the schedule is broadcast.
+STRETCH, BROADCAST = 1 << 16, 1 << 18
 
 
 def whole_weights(weights: Mapping[str | None, float], period: int = PERIOD) -> dict[str | None, int]:
@@ -34,35 +42,66 @@ def whole_weights(weights: Mapping[str | None, float], period: int = PERIOD) ->
     return slots
 
 
-def fair_schedule(slots: Mapping[str | None, int]) -> list[tuple[str | None, int]]:
-    """For each slot of a period the source and which of its blocks.
+def exact_parts(weights: Mapping[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in the very proportions of the weights."""
+    if len(weights) > PERIOD or any(not w > 0 or w == float("inf") for w in weights.values()):
+        raise ValueError(f"needs positive, finite weights of at most {PERIOD} sources")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def earliest_due(parts: list[int], needed: list[int] | None = None, end: int | None = None) -> Iterator[tuple[int, int]]:
+    """For each slot which source and which of its blocks, without end.
 
-    Block i (from 0) of a source of weight w = slots / period is released at floor(i / w) and due at
+    Block i (from 0) of a source of weight w = its part / all parts is released at floor(i / w) and due at
     ceil((i + 1) / w). Of the released blocks the one due first gets the slot. The weights sum to one, so
     all meet their times, and after any number of slots each source is less than one block from its share.
+    With ``end``, the block that completes a source's ``needed`` ones is due by then; if that cannot be
+    met, the slots break off where a block misses its time.
     """
-    period = sum(slots.values())
-    order = {s: k for k, s in enumerate(slots)}
-    names = list(slots)
-
-    def block(s: str | None, i: int) -> tuple[int, int, int, int]:
-        return i * period // slots[s], -(-(i + 1) * period // slots[s]), order[s], i
-
-    waiting = [block(s, 0) for s in names]
-    heapq.heapify(waiting)
+    total = sum(parts)
+    waiting = [(0, k, 0) for k in range(len(parts))]
     ready: list[tuple[int, int, int]] = []
-    out: list[tuple[str | None, int]] = []
-    for slot in range(period):
+    slot = 0
+    while True:
         while waiting and waiting[0][0] <= slot:
-            _, due, k, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (due, k, i))
+            _, k, i = heapq.heappop(waiting)
+            due = -(-(i + 1) * total // parts[k])
+            heapq.heappush(ready, (min(due, end) if end is not None and i == needed[k] - 1 else due, k, i))
         due, k, i = heapq.heappop(ready)
         if due <= slot:
-            raise AssertionError("a block missed its deadline")
-        out.append((names[k], i))
-        if i + 1 < slots[names[k]]:
-            heapq.heappush(waiting, block(names[k], i + 1))
-    return out
+            if end is None:
+                raise AssertionError("a block missed its deadline")
+            return
+        yield k, i
+        slot += 1
+        heapq.heappush(waiting, ((i + 1) * total // parts[k], k, i + 1))
+
+
+def fair_schedule(slots: Mapping[str | None, int]) -> list[tuple[str | None, int]]:
+    """For each slot of one period (all slots together) the source and which of its blocks."""
+    names = list(slots)
+    return [(names[k], i) for k, i in islice(earliest_due(list(slots.values())), sum(slots.values()))]
+
+
+def whole_schedule(parts: list[int], needed: list[int]) -> array:
+    """The source of each slot, up to the first slot by which every source has had its ``needed`` blocks.
+
+    A source may be up to a block ahead, so a small one need not wait until its share is a whole block: the
+    earliest end that the times allow is tried first, then later ones by eighths.
+    """
+    total = sum(parts)
+    end = max((n - 1) * total // p for p, n in zip(parts, needed)) + 1
+    last = max(-(-n * total // p) for p, n in zip(parts, needed))
+    while True:
+        out, left = array("H"), len(parts)
+        for k, i in earliest_due(parts, needed, end if end < last else None):
+            out.append(k)
+            left -= i + 1 == needed[k]
+            if not left:
+                return out
+        end += -(-end // 8)
 
 
 def tempered_weights(counts: Mapping[str | None, int], power: float) -> dict[str | None, float]:
@@ -78,8 +117,33 @@ def source_counts(docs: DataFrame, source: str = "source") -> dict[str | None, i
     return {r["s"]: r["n"] for r in rows}
 
 
+def _schedule_rows(spark: SparkSession, names: list[str | None], order: array, in_epoch: list[int]) -> DataFrame:
+    """``_s, _block, mix_epoch, mix_slot``: the slots of each block of a source. The driver keeps 2 bytes a slot."""
+    codes = np.frombuffer(order, np.uint16)
+    cuts = range(0, len(codes), STRETCH)
+    before = np.cumsum([np.zeros(len(names), np.int64)] + [np.bincount(codes[x : x + STRETCH], minlength=len(names)) for x in cuts], axis=0)
+    shared = spark.sparkContext.broadcast((codes, before, np.array(in_epoch)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, before, in_epoch = shared.value
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                own = codes[x * STRETCH : (x + 1) * STRETCH].astype(np.int64)
+                order = np.argsort(own, kind="stable")
+                nth = np.empty(len(own), np.int64)
+                nth[order] = np.arange(len(own)) - np.searchsorted(own[order], own[order])
+                nth += before[x][own]
+                out = [own, nth % in_epoch[own], nth // in_epoch[own], x * STRETCH + np.arange(len(own))]
+                yield pa.RecordBatch.from_arrays([pa.array(y) for y in out], names=["_code", "_block", "mix_epoch", "mix_slot"])
+
+    rows = spark.range(0, len(cuts), 1, min(len(cuts), 256)).mapInArrow(run, "_code bigint, _block bigint, mix_epoch bigint, mix_slot bigint")
+    named = spark.createDataFrame(list(enumerate(names)), "_code bigint, _s string")
+    rows = rows.join(F.broadcast(named), "_code").drop("_code")
+    return F.broadcast(rows) if len(codes) <= BROADCAST else rows
+
+
 def mix_sources(
-    docs: DataFrame, weights: Mapping[str | None, float], counts: Mapping[str | None, int], block: int = BLOCK, period: int = PERIOD,
+    docs: DataFrame, weights: Mapping[str | None, float], counts: Mapping[str | None, int], block: int = BLOCK, period: int | None = None,
     key: str = "doc_id", source: str = "source",
 ) -> DataFrame:
     """``docs`` with ``mix_epoch, mix_slot, mix_place``: where each row comes in the mixture.
@@ -93,32 +157,26 @@ def mix_sources(
     ``counts`` are the rows of each source. Every source must have a weight; null is a source of its own.
     An empty table gives no rows. Clashing column names are an error, other columns pass through.
 
+    After any slot each source has had less than one block more or less than its weight's exact share, and so the
+    mixture is as long as the smallest shares need to bring their blocks. ``period`` rounds the weights to
+    multiples of its inverse, one at least.
+
     Rows are numbered in pieces of a source by ranges of the hash, whose counts are added up first, so a
-    source with most rows is no single task. The schedule is one period of bounded length and repeats.
+    source with most rows is no single task. The schedule is made on the driver, 2 bytes for each slot (a block).
     """
     made = ["mix_epoch", "mix_slot", "mix_place"]
-    if clash := {*made, "_n", "_piece", "_h", "_before", "_start", "_round"} & set(docs.columns):
+    if clash := {*made, "_n", "_piece", "_h", "_before", "_start", "_block", "_s"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} are there already")
     if missing := [s for s, n in counts.items() if n and s not in weights]:
         raise ValueError(f"no weight for {missing}")
     spark, c = docs.sparkSession, F.col
-    slots = whole_weights({s: w for s, w in weights.items() if counts.get(s)}, period)
-    if not slots:
+    own = {s: w for s, w in weights.items() if counts.get(s)}
+    if not own:
         return docs.select("*", *[F.lit(0).cast("bigint").alias(x) for x in made]).limit(0)
-    table = fair_schedule(slots)
-    span = len(table)
-    place: dict[str | None, list[int]] = {s: [] for s in slots}
-    for slot, (s, _) in enumerate(table):
-        place[s].append(slot)
-
-    def slot_of(s: str | None, nth: int) -> int:
-        return nth // slots[s] * span + place[s][nth % slots[s]]
-
-    in_epoch = {s: -(-counts[s] // block) for s in slots}
-    end = 1 + max(slot_of(s, in_epoch[s] - 1) for s in slots)
-    # how many blocks each source has in the mixture
-    blocks = {s: end // span * slots[s] + sum(p < end % span for p in place[s]) for s in slots}
-    rounds = {s: -(-blocks[s] // in_epoch[s]) for s in slots}
+    parts = exact_parts(own if period is None else whole_weights(own, period))
+    names = list(parts)
+    in_epoch = [-(-counts[s] // block) for s in names]
+    schedule = _schedule_rows(spark, names, whole_schedule(list(parts.values()), in_epoch), in_epoch)
 
     pieces = max(256, sum(counts.values()) // NUMBERED)
     h = F.xxhash64(F.col(key), F.lit(2))
@@ -127,18 +185,11 @@ def mix_sources(
     before = sizes.select("_s", "_p", (F.sum("_c").over(Window.partitionBy("_s").orderBy("_p")) - c("_c")).alias("_before"))
     whole_row = F.xxhash64(*[F.to_json(F.struct(x)) for x in docs.columns])
     within = Window.partitionBy(source, "_piece").orderBy("_h", key, whole_row)
-    # one row a source: at most ``period``
-    plan = spark.createDataFrame([(s, slots[s], in_epoch[s], blocks[s], rounds[s], place[s]) for s in slots], "_s string, _slots int, _in_epoch bigint, _blocks bigint, _rounds bigint, _places array<int>")
-    numbered = (
+    return (
         rows.withColumn("_n", F.row_number().over(within) - 1)
         .join(before, c(source).eqNullSafe(c("_s")) & (c("_piece") == c("_p"))).drop("_s", "_p")
-        .join(F.broadcast(plan), c(source).eqNullSafe(c("_s")))
         .withColumn("_start", c("_before") + c("_n"))
-        .withColumn("_round", F.explode(F.sequence(F.lit(0).cast("bigint"), c("_rounds") - 1)))
-    )
-    nth = c("_round") * c("_in_epoch") + F.floor(c("_start") / F.lit(block))
-    slot = F.floor(nth / c("_slots")) * span + F.get("_places", F.pmod(nth, c("_slots")).cast("int"))
-    return (
-        numbered.where(nth < c("_blocks"))
-        .select(*docs.columns, c("_round").alias("mix_epoch"), slot.alias("mix_slot"), F.pmod(c("_start"), F.lit(block)).alias("mix_place"))
+        .withColumn("_block", F.floor(c("_start") / F.lit(block)))
+        .join(schedule.withColumnRenamed("_block", "_b"), c(source).eqNullSafe(c("_s")) & (c("_block") == c("_b")))
+        .select(*docs.columns, "mix_epoch", "mix_slot", F.pmod(c("_start"), F.lit(block)).alias("mix_place"))
     )
