@@ -15,8 +15,8 @@ from .text_hash import mixed, small_slices, text_bytes
 MAX_LABELLED = 3000
 #: Rows of the embedding table (a power of two), their length, words a window, and lengths of subwords in bytes.
 BUCKETS, DIM, WINDOW, SUBWORDS = 1 << 20, 4, 12, (3, 4, 5, 6)
-#: Rounds of the fit, steps of the embeddings and of the rest, decay, and the share of texts that a subword must be in.
-EPOCHS, RATES, DECAY, LEAST_SHARE = 50, (3.0, 0.05, 0.05), 1e-7, 1 / 150
+#: Rounds of the fit, steps of the embeddings and of the rest, decay, and the texts of one class that a subword must be in.
+EPOCHS, RATES, DECAY, LEAST_TEXTS = 50, (3.0, 0.05, 0.05), 1e-7, 2
 
 _rng = np.random.Generator(np.random.PCG64(10))
 _CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -118,13 +118,14 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
 
     A word is the mean of its subwords' embeddings, a window the mean of its words; a text is as toxic as its
     windows together (log-sum-exp of their logits), so that a few words count the same in a long text. Classes
-    weigh the same. Subwords of few texts are left out. Without both classes every text gets the one there is
+    weigh the same. Subwords in fewer than
+    ``LEAST_TEXTS`` texts of either class are left out. Without both classes every text gets the one there is
     (or, without texts, 0).
     """
     if len(np.unique(toxic)) < 2:
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 14.0 if len(toxic) and toxic[0] else -14.0)
     # slice by slice, so that only each text's words and the subwords of different words are held
-    words, windows, per_text, sizes, parts, often = [], [], [], [], [], np.zeros(BUCKETS, np.int32)
+    words, windows, per_text, sizes, parts, often, done = [], [], [], [], [], np.zeros((2, BUCKETS), np.int32), 0
     known = np.empty(0, np.uint64)
     for part in small_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), "text", 1 << 18):
         b = bags(part.column("text"))
@@ -133,7 +134,9 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
             nth = np.arange(len(b.buckets)) - np.repeat(b.words[:-1], size)
             names = np.add.reduceat(mixed(b.buckets.astype(np.uint64) + np.uint64(BUCKETS) * nth.astype(np.uint64)), b.words[:-1]) if len(size) else known[:0]
         in_text = np.repeat(np.repeat(np.repeat(np.arange(part.num_rows), np.diff(b.texts)), per_window), size)
-        np.add.at(often, np.unique(in_text * BUCKETS + b.buckets) % BUCKETS, 1)
+        pairs = np.unique(in_text * BUCKETS + b.buckets)
+        np.add.at(often, (toxic[done + pairs // BUCKETS].astype(np.int64), pairs % BUCKETS), 1)
+        done += part.num_rows
         kinds, at = np.unique(names, return_index=True)
         new = ~np.isin(kinds, known)
         known, at = np.append(known, kinds[new]), at[new]
@@ -146,8 +149,8 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     kind = order[np.searchsorted(known, words, sorter=order)].astype(np.int32)
     size = np.concatenate(sizes)
     del words, known, order
-    # what is in few texts would only be learned by heart; it counts in the means but stays zero
-    usual = np.flatnonzero(often >= LEAST_SHARE * len(toxic))
+    # what is in a single text of a class would only be learned by heart; it counts in the means but stays zero
+    usual = np.flatnonzero((often >= LEAST_TEXTS).any(0))
     row = np.full(BUCKETS, -1, np.int32)
     row[usual] = np.arange(len(usual))
     bucket = row[np.concatenate(parts)]
