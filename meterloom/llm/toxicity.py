@@ -85,7 +85,7 @@ def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _pooled(logits: np.ndarray, bounds: np.ndarray, empty: float) -> tuple[np.ndarray, np.ndarray]:
-    """Per text the log-sum-exp over its windows, and each window's share of it."""
+    """Per text the log-mean-exp over its windows, so that their number counts nothing, and each window's share of it."""
     size = np.diff(bounds)
     some = np.flatnonzero(size)
     out = np.full(len(size), empty)
@@ -95,7 +95,7 @@ def _pooled(logits: np.ndarray, bounds: np.ndarray, empty: float) -> tuple[np.nd
     top = np.maximum.reduceat(logits, starts)
     spread = np.exp(logits - np.repeat(top, size[some]))
     sums = np.add.reduceat(spread, starts)
-    out[some] = top + np.log(sums)
+    out[some] = top + np.log(sums / size[some])
     return out, spread / np.repeat(sums, size[some])
 
 
@@ -117,8 +117,8 @@ def fit(texts: pa.Array, toxic: np.ndarray) -> ToxicityModel:
     """Embeddings and softmax weights together, by Adam on all texts at once.
 
     A word is the mean of its subwords' embeddings, a window the mean of its words; a text is as toxic as its
-    windows together (log-sum-exp of their logits), so that a few words count the same in a long text. Classes
-    weigh the same. Subwords in fewer than
+    windows on average of their odds (log-mean-exp of their logits): a few windows outweigh many mild ones, and
+    clean windows, however many, never raise a score. Classes weigh the same. Subwords in fewer than
     ``LEAST_TEXTS`` texts of either class are left out. Without both classes every text gets the one there is
     (or, without texts, 0).
     """

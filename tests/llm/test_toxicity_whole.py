@@ -21,8 +21,23 @@ def test_words_of_few_toxic_texts_are_learned():
     clean = [text(20) for _ in range(1500)]
     toxic = [f"{text(9)} grumpfxyz {text(9)}" for _ in range(10)]
     model = toxicity.fit(pa.array(clean + toxic), np.array([0.0] * 1500 + [1.0] * 10))
-    # before, no subword of the toxic word had a weight, as it is in 10 texts of 1,510
-    assert model.weights[toxicity.bags(pa.array(["grumpfxyz"])).buckets].mean() > 0
+    # by a share of all texts almost no subword of the toxic word had a weight, as it is in 10 of 1,510
+    assert np.median(model.weights[toxicity.bags(pa.array(["grumpfxyz"])).buckets]) > 0
     new = [text(20) for _ in range(50)]
     with_word, with_other = (model.scores(pa.array([f"{x} {w}" for x in new])) for w in ("grumpfxyz", "vvhqqwwjj"))
     assert (with_word > with_other).mean() > 0.9
+
+
+def test_length_alone_is_not_toxic():
+    rows = labelled(900)
+    model = toxicity.fit(pa.array([t for _, t, _ in rows]), np.array([float(y) for _, _, y in rows]))
+    clean = [t for _, t, y in rows if not y]
+    longest = sorted(clean, key=len)[-len(clean) // 100 :]
+    assert (model.scores(pa.array(longest)) < 0.5).all()
+    words = " ".join(clean).split()
+    long = " ".join((words * (100_000 // len(words) + 1))[:100_000])
+    assert model.scores(pa.array([long]))[0] < 0.5
+    # the same text over and over scores as once
+    part = " ".join(words[: 12 * 50])
+    once, often = model.scores(pa.array([part, " ".join([part] * 40)]))
+    assert abs(once - often) < 1e-6
