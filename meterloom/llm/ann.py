@@ -18,6 +18,8 @@ from .vectors import BLOCK_ROWS, asked_vectors, kth_scores, matrix, one_of_each,
 TREES, SAMPLE, LEAF_ROWS, LEAF_SAMPLE = 8, 20_000, 512, 8
 #: Leaves that a query opens first, for a bound on what the others must offer.
 FIRST = 12
+#: Vectors of the sample that are searched for in it, and the share of their nearest that the opened leaves must hold.
+PROBES, RECALL = 256, 0.95
 
 
 @dataclass
@@ -90,9 +92,34 @@ def grow(sample: np.ndarray, reach: float, rows: int, trees: int, seed: int = 4)
     return forest
 
 
-def leaves_to_open(leaves: int) -> int:
-    """Of all trees' leaves, how many a query opens: a share that falls as they become more."""
-    return max(16, int(np.ceil(0.6 * leaves**0.75)))
+def leaves_to_open(forest: Forest, sample: np.ndarray, rows: int, k: int) -> int:
+    """Of all trees' leaves, how many a query opens: the fewest that hold a share ``RECALL`` of the nearest of ``PROBES`` vectors.
+
+    The nearest are found in the sample by scoring all of it: as many as the sample has of a query's ``k`` (one at
+    least, so with a small sample they are farther than those of all rows, which asks for more leaves).
+    """
+    nearest_in_sample = min(len(sample) - 1, max(1, -(-k * len(sample) // rows)))
+    if nearest_in_sample < 1:
+        return len(forest.directions) << forest.depth
+    first_leaf = 1 << forest.depth
+    lifted = forest.lifted(sample, rows=True)
+    leaf = np.stack([forest.leaves(lifted, t) + t * first_leaf for t in range(len(forest.directions))])
+    found = []
+    for i in np.linspace(0, len(sample) - 1, min(PROBES, len(sample))).astype(int):
+        scores = sample @ sample[i]
+        scores[i] = -np.inf
+        near = np.argpartition(-scores, nearest_in_sample - 1)[:nearest_in_sample]
+        # each node's farthest margin on the wrong side above it, by which nearest_leaves opens
+        margins = forest.directions @ np.append(sample[i], 0.0) - forest.thresholds
+        wrong = np.full((len(margins), 1), -np.inf)
+        for level in range(forest.depth):
+            own = margins[:, 1 << level : 2 << level]
+            wrong = np.maximum(np.repeat(wrong, 2, axis=1), np.stack([own, -own], axis=2).reshape(len(margins), -1))
+        place = np.empty(wrong.size, np.int64)
+        place[np.argsort(wrong.ravel(), kind="stable")] = np.arange(wrong.size)
+        found.append(place[leaf[:, near]].min(0))
+    found = np.sort(np.concatenate(found))
+    return min(int(found[int(np.ceil(RECALL * len(found))) - 1]) + 1, wrong.size)
 
 
 def inner_products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -115,7 +142,8 @@ def nearest(
     The forest is fitted on at most ``sample`` vectors (the first by a hash) and so bounded; every row is
     dealt to a leaf of every tree. A leaf's rows are cut into blocks of about ``BLOCK_ROWS`` by a hash, each
     query is sent to all blocks of the leaves it opens, and scored exactly against them. From its first ``FIRST``
-    leaves it has a score that rows of the others must reach, so each query gets few rows from each.
+    leaves it has a score that rows of the others must reach, so each query gets few rows from each. How many
+    it opens follows from a recall of ``RECALL`` measured on the sample, whatever the number of rows.
     """
     spark, c = df.sparkSession, F.col
     scratch = Scratch(spark, "ann")
@@ -126,7 +154,8 @@ def nearest(
     drawn = distinct.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toArrow()
     if not size["n"]:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    forest = grow(matrix(drawn["v"]), float(np.sqrt(size["m"])), size["n"], trees)
+    fitted = matrix(drawn["v"])
+    forest = grow(fitted, float(np.sqrt(size["m"])), size["n"], trees)
     leaves = 1 << forest.depth
     shared = spark.sparkContext.broadcast(forest)
 
@@ -147,7 +176,7 @@ def nearest(
         (c("leaf") * most + F.pmod(F.xxhash64("id"), F.coalesce("blocks", F.lit(1)))).alias("block"), F.lit(0.0).alias("key"), "id", "v"
     )
     wanted = asked_vectors(rows, distinct, query)
-    opened = leaves_to_open(trees * leaves)
+    opened = max(FIRST, leaves_to_open(forest, fitted, size["n"], k))
 
     def sent(count: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
