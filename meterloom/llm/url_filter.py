@@ -2,22 +2,51 @@
 
 from __future__ import annotations
 
+import html
+import re
 import string
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from urllib.parse import urljoin
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import Scratch
 from .components import connected_components
 
-#: Host and rest of the path after the first ``://``; a canonical link and a refresh, in either order of attributes.
+#: Host and rest of the path after the first ``://``.
 _PARTS = r"://([^/?#]*)([^?#]*)"
 _QUERY = r"://[^/?#]*[^?#]*(\?[^#]*)"
-_LINKS = (
-    r"(?i)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*?\bhref\s*=\s*[\"']?([^\"'\s>]+)",
-    r"(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*?\bcontent\s*=\s*[\"'][^\"'>]*?\burl\s*=\s*([^\"'\s>]+)",
-)
+#: Elements that hold links (a ">" inside quotes ends none), their attributes, and the target in a refresh.
+_ELEMENT = re.compile(r"""<(link|meta)\b((?:"[^"<]*"|'[^'<]*'|[^>])*+)""", re.I)
+_ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>]+))""")
+_REFRESH = re.compile(r"""\burl\s*=\s*["']?([^"'\s>]+)""", re.I)
+
+
+def links_of(url: str, text: str) -> list[str]:
+    """The absolute targets of all canonical links and refreshes in a page. Relative ones need a URL with ``://``."""
+    out = []
+    for kind, rest in _ELEMENT.findall(text):
+        own = {}
+        for name, *values in _ATTRIBUTE.findall(rest):
+            own.setdefault(name.lower(), html.unescape("".join(values)).strip())
+        if kind.lower() == "link":
+            target = own.get("href") if "canonical" in own.get("rel", "").lower().split() else None
+        else:
+            found = _REFRESH.search(own.get("content", "")) if own.get("http-equiv", "").lower() == "refresh" else None
+            target = found and found[1]
+        if not target:
+            continue
+        if "://" in url and not re.match(r"[A-Za-z][\w+.-]*:", target):
+            try:
+                # schemes make no difference to what a URL is here, and urljoin knows this one
+                target = urljoin("http" + url[url.index("://") :], target)
+            except ValueError:
+                continue
+        if "://" in target:
+            out.append(target)
+    return out
 
 
 def host_of(url: Column) -> Column:
@@ -37,13 +66,16 @@ def node_of(url: Column) -> Column:
 
 
 def links_in_pages(pages: DataFrame) -> DataFrame:
-    """``a, b``: the URL of each page and the absolute URL of its canonical link or refresh. Relative ones are completed if they begin with a slash."""
+    """``a, b``: the URL of each page and the absolute URL of each canonical link and refresh in it."""
     c = F.col
-    rows = pages.select(c("url").cast("string").alias("a"), c("html").cast("string").alias("html")).where(c("html").rlike("(?i)canonical|http-equiv"))
-    found = rows.select("a", F.explode(F.array(*[F.regexp_extract("html", p, 1) for p in _LINKS])).alias("b"))
-    origin = F.regexp_extract("a", r"^([^:]*://[^/?#]*)", 1)
-    whole = F.when(c("b").startswith("//"), F.concat(F.lit("http:"), "b")).when(c("b").startswith("/"), F.concat(origin, "b")).otherwise(c("b"))
-    return found.select("a", whole.alias("b")).where(c("b").contains("://"))
+    rows = pages.select(c("url").cast("string").alias("a"), c("html").cast("string").alias("html"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(x, b) for x, text in zip(*(batch.column(i).to_pylist() for i in (0, 1))) for b in links_of(x, text)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.string()) for i in (0, 1)], names=["a", "b"])
+
+    return rows.where(c("a").isNotNull() & c("html").rlike("(?i)canonical|refresh|&#")).mapInArrow(run, "a string, b string")
 
 
 def _ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
