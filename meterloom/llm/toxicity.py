@@ -201,6 +201,8 @@ def train_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
         labels.select(c("doc_id").cast("bigint").alias("doc_id"), c("toxic").cast("int").alias("toxic"))
         .where(c("toxic").isin(0, 1) & (F.crc32(c("doc_id").cast("string")) % 5 != 0))
         .groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+        # before the limits, else labels without a document would use them up
+        .join(docs.select(c("doc_id").cast("bigint").alias("doc_id")), "doc_id", "left_semi")
     )
     chosen = [usable.where(c("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled // 2) for k in (0, 1)]
     # a row for each chosen document at most: bounded, so it may be broadcast

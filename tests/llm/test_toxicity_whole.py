@@ -41,3 +41,12 @@ def test_length_alone_is_not_toxic():
     part = " ".join(words[: 12 * 50])
     once, often = model.scores(pa.array([part, " ".join([part] * 40)]))
     assert abs(once - often) < 1e-6
+
+
+def test_labels_without_documents_take_no_place(spark):
+    rows = labelled(200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(10_000 + i, i % 2) for i in range(20_000)], "doc_id bigint, toxic int")
+    model = toxicity.train_toxicity(docs, labels, max_labelled=60)
+    # with rows of one class or none the weights are all zero
+    assert np.count_nonzero(model.weights)
