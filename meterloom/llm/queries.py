@@ -19,6 +19,7 @@ from .mixing import mix_sources, source_counts, tempered_weights
 from .sharding import assign_shards
 from .toxicity import train_toxicity, with_toxicity
 from .url_filter import judge_urls
+from .whitening import whiten
 
 #: The tokenizer file of the token queries; its place is a parameter of their operators.
 TOKENIZER = "word_bpe_49k.json"
@@ -98,6 +99,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first eight principal components of all usable embeddings, and every row whitened on them."""
+    return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", count=8, scale=1024, offset=100000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_mixing": op2_mixing,
@@ -109,4 +115,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op13_whitening": op13_whitening,
 }
