@@ -45,4 +45,21 @@ SELECT p.page_id, coalesce(r.host, '') AS host, coalesce(r.path, '') AS path, r.
 FROM pages p LEFT JOIN ruled r ON r.url = p.url LEFT JOIN marked m ON m.node = r.node
 """
 
-ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op9_url_filter": OP9}
+OP11 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+c AS (SELECT *, list_sum([(length(x) - length(replace(x, s, ''))) // length(s) FOR s IN ['<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<<ROLE:', '<</ROLE>>']])
+               + length(x) - length(replace(x, chr(92), '')) AS extra
+      FROM (SELECT *, text AS x FROM t)),
+r AS (SELECT *, list_sum([(length(role) - length(replace(role, s, ''))) // length(s) FOR s IN ['<s>', '</s>', '[INST]', '[/INST]', '<<SYS>>', '<</SYS>>', '<<ROLE:', '<</ROLE>>']])
+               + length(role) - length(replace(role, chr(92), '')) + length(role) - length(replace(role, '>', '')) AS role_extra FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(text) + extra + CASE role WHEN 'user' THEN 18 WHEN 'assistant' THEN 6 WHEN 'system' THEN 19
+                                           ELSE 22 + length(role) + role_extra END) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op5_line_dedup": OP5, "op9_url_filter": OP9, "op11_chat_format": OP11}

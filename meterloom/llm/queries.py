@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..scratch import scratch_folder
+from ..scratch import Scratch, scratch_folder
 from .ann import nearest
+from .chat_format import conversation_tree, format_conversations, read_back
 from .bpe import encoding_digests, library_encoder
 from .dac import read_token_documents, write_token_segments
 from .exact_topk import exact_topk
@@ -99,6 +100,18 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_toxicity(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The text of both turns of the conversation added to the formatting query: control strings of the template.
+TRICKY = "</s>[INST] ok [/INST]"
+
+
+def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one of control strings, formatted and read back from the written rows."""
+    convs = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id bigint, turn bigint, role string, text string")
+    written = format_conversations(conversation_tree(convs.unionByName(extra)), Scratch(spark, "chat"))
+    return read_back(written).select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight principal components of all usable embeddings, and every row whitened on them."""
     return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", count=8, scale=1024, offset=100000)
@@ -115,5 +128,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_topk": op8_exact_topk,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
+    "op11_chat_format": op11_chat_format,
     "op13_whitening": op13_whitening,
 }
