@@ -16,6 +16,7 @@ from .dac import read_token_documents, write_token_segments
 from .exact_topk import exact_topk
 from .line_dedup import deduplicate_lines
 from .minhash import near_duplicates
+from .prefix_trie import prefix_trie
 from .mixing import mix_sources, source_counts, tempered_weights
 from .sharding import assign_shards
 from .toxicity import train_toxicity, with_toxicity
@@ -112,6 +113,11 @@ def op11_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(written).select(F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each rebuilt on the head of the first of its hundred."""
+    return prefix_trie(table(spark, sf_dir, "conversations"), Scratch(spark, "trie"), spread=100, heads=6)
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first eight principal components of all usable embeddings, and every row whitened on them."""
     return whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", count=8, scale=1024, offset=100000)
@@ -129,5 +135,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
     "op11_chat_format": op11_chat_format,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_whitening": op13_whitening,
 }
