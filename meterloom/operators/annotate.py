@@ -82,17 +82,19 @@ def control_timeline(edits: DataFrame, clears: DataFrame, scratch: Scratch, *, r
     instants = _ranged(scratch.keep(marks.groupBy("us").agg(F.max("clears").alias("clears"))), "us", rows_per_range, scratch)
     clear_us = F.when(F.col("clears"), F.col("us"))
     per_part = instants.groupBy("part").agg(F.min("us").alias("first_us"), F.min(clear_us).alias("first_clear"))
-    later = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    # "the next one after" is a running value over the descending order: a frame that grows, row by row,
+    # where one that ends at UNBOUNDED FOLLOWING would be summed anew for every row
+    later = Window.orderBy(F.col("part").desc()).rowsBetween(Window.unboundedPreceding, -1)
     per_part = per_part.select(
         "part",
-        F.first("first_us").over(later).alias("after_us"),
-        F.first("first_clear", ignorenulls=True).over(later).alias("after_clear"),
+        F.lag("first_us").over(Window.orderBy(F.col("part").desc())).alias("after_us"),
+        F.last("first_clear", ignorenulls=True).over(later).alias("after_clear"),
     )
     here = Window.partitionBy("part").orderBy("us")
-    rest = here.rowsBetween(1, Window.unboundedFollowing)
+    rest = Window.partitionBy("part").orderBy(F.col("us").desc()).rowsBetween(Window.unboundedPreceding, -1)
     return scratch.keep(
         instants.select(
-            "us", "part", F.lead("us").over(here).alias("hi"), F.first(clear_us, ignorenulls=True).over(rest).alias("until")
+            "us", "part", F.lead("us").over(here).alias("hi"), F.last(clear_us, ignorenulls=True).over(rest).alias("until")
         )
         .join(per_part, "part")
         .select("us", "part", F.coalesce("hi", "after_us").alias("hi"), F.coalesce("until", "after_clear").alias("until_us"))

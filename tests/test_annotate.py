@@ -166,3 +166,30 @@ def test_many_names_and_few_rows(spark):
     control += [(T0 + i * hour, 3 * i + 2, "delete", f"d{i}", None) for i in range(4000)]
     data = [(i, T0 + 400 * i * hour, {"host": "h", f"d{i}": "x", f"d{3000 + i}": "y"}) for i in range(10)]
     assert run(spark, data, control) == fold(data, control)
+
+
+def test_timeline_frames_grow_and_a_million_instants_are_linear(spark):
+    import time
+
+    from meterloom.operators.annotate import control_timeline
+    from meterloom.scratch import Scratch
+
+    edits = spark.range(1_000_000).select((F.col("id") * 1000).alias("us"))
+    clears = spark.range(1_000_000).where(F.col("id") % 97 == 0).select((F.col("id") * 1000 + 500).alias("us"), F.lit(1).alias("seq"))
+    plans = []
+
+    class Seen(Scratch):
+        def keep(self, df):
+            plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+            return super().keep(df)
+
+    scratch = Seen(spark, "timeline-test")
+    start = time.time()
+    timeline = control_timeline(edits, clears, scratch)
+    rows = {r["us"]: (r["hi"], r["until_us"]) for r in timeline.where(F.col("us").isin(0, 500, 1000, 96_000, 97_000, 97_500, 999_999_000)).collect()}
+    assert time.time() - start < 60
+    assert rows == {0: (500, 500), 500: (1000, 97_500), 1000: (2000, 97_500), 96_000: (97_000, 97_500), 97_000: (97_500, 97_500),
+                    97_500: (98_000, 194_500), 999_999_000: (None, None)}
+    scratch.drop_all()
+    assert any("windowspecdefinition" in p.replace(" ", "").lower() for p in plans)
+    assert all("unboundedfollowing" not in p.replace(" ", "").lower() for p in plans)
