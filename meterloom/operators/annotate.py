@@ -219,15 +219,18 @@ def annotate(
     if bins:
         table, row_bin = bins
         between = (row_bin == F.col("_bin")) & (F.col("_us") > F.col("_lo")) & (F.col("_us") <= F.col("_hi"))
-        placed = rows.join(F.broadcast(table), between, "left")
+        placed, read = rows.join(F.broadcast(table), between, "left"), timeline
     else:
-        placed = rows.join(scratch.keep(_last_instants(rows.select("_us"), timeline, scratch, rows_per_range)), "_us", "left")
+        read = scratch.keep(_last_instants(rows.select("_us"), timeline, scratch, rows_per_range))
+        placed = rows.join(read, "_us", "left")
     names = placed.where("_lo is not null").select("_lo", F.explode_outer(F.map_keys(labels)).alias("name"))
     states = label_states(scratch.keep(names.distinct()), edits, timeline, scratch, rows_per_range=rows_per_range)
     texts = F.concat(F.map_keys("_add"), F.map_values("_add"), F.col("_hide"))
     bytes_ = F.aggregate(texts, F.lit(64).cast("bigint"), lambda n, s: n + F.octet_length(s) + 16)
     small = (states.agg(F.sum(bytes_)).first()[0] or 0) <= broadcast_bytes
     found = placed.join(F.broadcast(states) if small else states, "_lo", "left")
+    # the result reads only the rows, where they fall and the states
+    scratch.drop_all(read, states)
     # What a row keeps of its own, then what the state adds.
     own = F.map_filter(labels, lambda k, _: ~F.array_contains("_hide", k) & ~F.map_contains_key("_add", k))
     new_labels = F.when(F.col("_add").isNull(), F.col(labels)).otherwise(F.map_concat(own, "_add"))

@@ -18,7 +18,7 @@ from ..operators.health import LAG_WARNING_MS, latency_counts, latency_figures
 from ..operators.quarantine import keep_type, split_rejects
 from ..operators.series import assemble_series, series_row_errors
 from ..schemas import CONTROL_SCHEMA
-from ..scratch import written
+from ..scratch import lease, sweep_orphans, written
 from ..sinks.files import check_codec, file_rows
 from ..sources.delimited import read_delimited
 from ..specs import SAMPLE_TYPE, FieldSpec
@@ -161,15 +161,26 @@ def start_pipeline(
     """Annotate a stream of samples and write it to all sinks.
 
     ``trigger`` is passed on, for example ``{"processingTime": "5 seconds"}``; the default takes
-    what is there and stops. Sinks may see a micro-batch twice after a failure.
+    what is there and stops. Sinks may see a micro-batch twice after a failure. The intermediate tables of
+    a micro-batch are removed once all sinks have written it; those that dead drivers left are swept first.
     """
     if not sinks:
         raise ValueError("at least one sink is needed")
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        if control_path is not None:
-            batch = annotate(batch, read_control(batch.sparkSession, control_path))
-        fan_out(batch, batch_id, sinks)
+        # the batch's intermediate tables live until all its sinks have written it
+        # (annotate reads its input twice, so it is kept in memory for that)
+        with lease(batch.sparkSession):
+            if control_path is None:
+                fan_out(batch, batch_id, sinks)
+                return
+            rows = batch.persist()
+            try:
+                fan_out(annotate(rows, read_control(batch.sparkSession, control_path)), batch_id, sinks)
+            finally:
+                rows.unpersist()
+
+    sweep_orphans(samples.sparkSession)
 
     writer = samples.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if name:

@@ -202,3 +202,45 @@ def test_remote_write_keeps_one_type(spark, tmp_path):
     )(df, 7)
     assert (reports[0]["kept"], reports[0]["dropped"], reports[0]["incomplete"], reports[0]["last_ms"]) == (5, 1, 1, 1704067205000)
     assert [r.error for r in spark.read.parquet(str(bad)).collect()] == ["sample without metric_type"]
+
+
+def test_fifty_batches_leave_no_more_folders_than_one(spark, tmp_path):
+    from meterloom import scratch
+
+    data, control = str(tmp_path / "d"), str(tmp_path / "control")
+    spark.createDataFrame([(T0, 1, "set", "phase", "warm")], "ts timestamp, seq long, action string, name string, value string").write.parquet(f"{control}/batch=0")
+    for i in range(50):
+        spark.createDataFrame([("m0", "gauge", T0 + dt.timedelta(seconds=i + 1), float(i), {"host": "h"})], SAMPLE).coalesce(1).write.parquet(f"{data}/{i:03d}")
+    owner = f"{scratch.shared_base(spark)}/{scratch.OWNER}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(owner)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def folders():
+        return sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
+
+    before = folders()
+    source = spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(data)
+    query = start_pipeline(source, [parquet_sink(str(tmp_path / "o"))], str(tmp_path / "c"), control_path=control)
+    query.awaitTermination()
+    assert len(query.recentProgress) >= 10 and query.lastProgress["batchId"] == 49
+    assert folders() == before or set(folders()) - set(before) <= {scratch.MARK}
+    got = spark.read.parquet(str(tmp_path / "o")).collect()
+    assert len(got) == 50 and all(r.labels["phase"] == "warm" for r in got)
+
+
+def test_sweep_removes_owners_whose_mark_is_old(spark):
+    from meterloom import scratch
+
+    base = scratch.shared_base(spark)
+    jvm = spark._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    old, fresh = f"{base}/owner-dead-{T0.microsecond}", f"{base}/owner-alive-{T0.microsecond}"
+    for owner in (old, fresh):
+        spark.range(3).write.mode("overwrite").parquet(f"{owner}/annotate-1")
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{owner}/{scratch.MARK}"), True).close()
+    fs.setTimes(jvm.org.apache.hadoop.fs.Path(f"{old}/{scratch.MARK}"), 0, -1)
+    gone = scratch.sweep_orphans(spark, stale_after_s=3600)
+    assert any(g.endswith(old.rsplit("/", 1)[1]) for g in gone)
+    assert not fs.exists(jvm.org.apache.hadoop.fs.Path(old)) and fs.exists(jvm.org.apache.hadoop.fs.Path(fresh))
+    assert fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{scratch.OWNER}")) or not gone is None
+    fs.delete(jvm.org.apache.hadoop.fs.Path(fresh), True)
