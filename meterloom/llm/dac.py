@@ -175,11 +175,13 @@ def read_token_documents(spark: SparkSession, folder: str, checksum: bool = Fals
                 codes = Codes(batch.column("codes")[row].as_buffer())
                 ends = np.asarray(batch.column("ends")[row].values, np.int64)
                 begins = np.append(0, ends[:-1])
-                found = [codes.between(b, e) for b, e in zip(begins.tolist(), ends.tolist())]
+                # the whole segment in one pass over its levels, then cut at the documents' ends
+                ids = codes.between(0, codes.size)
                 if checksum:
-                    values = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in found], pa.int64())
+                    whole = memoryview(ids.astype("<u4").tobytes())
+                    values = pa.array([zlib.crc32(whole[4 * b : 4 * e]) for b, e in zip(begins.tolist(), ends.tolist())], pa.int64())
                 else:
-                    values = pa.array([x.astype(np.int64) for x in found], pa.list_(pa.int64()))
+                    values = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int64()).cast(pa.int32()), pa.array(ids.astype(np.int64)))
                 n = len(ends)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.full(n, batch.column("part")[row].as_py(), np.int32)), pa.array(np.full(n, batch.column("seq")[row].as_py(), np.int32)), batch.column("doc_ids")[row].values, pa.array(begins), pa.array(ends - begins), values],
