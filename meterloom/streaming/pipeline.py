@@ -18,7 +18,7 @@ from ..operators.health import LAG_WARNING_MS, latency_counts, latency_figures
 from ..operators.quarantine import keep_type, split_rejects
 from ..operators.series import assemble_series, series_row_errors
 from ..schemas import CONTROL_SCHEMA
-from ..scratch import lease, sweep_orphans, written
+from ..scratch import _exists, _touch, lease, sweep_orphans, written
 from ..sinks.files import check_codec, file_rows
 from ..sources.delimited import read_delimited
 from ..specs import SAMPLE_TYPE, FieldSpec
@@ -139,12 +139,23 @@ def remote_write_sink(
     return write
 
 
-def fan_out(batch: DataFrame, batch_id: int, sinks: Sequence[Sink]) -> None:
-    """Write one micro-batch to every sink, computing it once."""
+def fan_out(batch: DataFrame, batch_id: int, sinks: Sequence[Sink], marks: str | None = None) -> None:
+    """Write one micro-batch to every sink, computing it once.
+
+    With ``marks`` (a folder in the shared store) each sink that has written the batch leaves a mark
+    ``{marks}/sink={n}/batch={batch_id}``, ``n`` its place in ``sinks``; when the batch is run again after a
+    failure, the sinks that have it are skipped, so a failing sink makes no other sink see a batch twice.
+    """
+    spark = batch.sparkSession
     batch.persist()
     try:
-        for sink in sinks:
+        for n, sink in enumerate(sinks):
+            mark = f"{marks}/sink={n}/batch={batch_id}" if marks else None
+            if mark and _exists(spark, mark):
+                continue
             sink(batch, batch_id)
+            if mark:
+                _touch(spark, mark)
     finally:
         batch.unpersist()
 
@@ -161,22 +172,25 @@ def start_pipeline(
     """Annotate a stream of samples and write it to all sinks.
 
     ``trigger`` is passed on, for example ``{"processingTime": "5 seconds"}``; the default takes
-    what is there and stops. Sinks may see a micro-batch twice after a failure. The intermediate tables of
+    what is there and stops. A sink that has written a micro-batch does not see it again when the batch is run
+    anew after a failure (sinks are known by their place in ``sinks``). The intermediate tables of
     a micro-batch are removed once all sinks have written it; those that dead drivers left are swept first.
     """
     if not sinks:
         raise ValueError("at least one sink is needed")
+    # which sink has written which batch, beside the stream's own checkpoint
+    marks = f"{checkpoint.rstrip('/')}/sinks"
 
     def each(batch: DataFrame, batch_id: int) -> None:
         # the batch's intermediate tables live until all its sinks have written it
         # (annotate reads its input twice, so it is kept in memory for that)
         with lease(batch.sparkSession):
             if control_path is None:
-                fan_out(batch, batch_id, sinks)
+                fan_out(batch, batch_id, sinks, marks)
                 return
             rows = batch.persist()
             try:
-                fan_out(annotate(rows, read_control(batch.sparkSession, control_path)), batch_id, sinks)
+                fan_out(annotate(rows, read_control(batch.sparkSession, control_path)), batch_id, sinks, marks)
             finally:
                 rows.unpersist()
 

@@ -244,3 +244,30 @@ def test_sweep_removes_owners_whose_mark_is_old(spark):
     assert not fs.exists(jvm.org.apache.hadoop.fs.Path(old)) and fs.exists(jvm.org.apache.hadoop.fs.Path(fresh))
     assert fs.exists(jvm.org.apache.hadoop.fs.Path(f"{base}/{scratch.OWNER}")) or not gone is None
     fs.delete(jvm.org.apache.hadoop.fs.Path(fresh), True)
+
+
+def test_a_failing_sink_makes_no_other_sink_see_a_batch_twice(spark, tmp_path):
+    data = str(tmp_path / "d")
+    for i in range(3):
+        samples(spark, 2).coalesce(1).write.parquet(f"{data}/{i}")
+    seen = {"first": [], "second": []}
+    fail = {"once": True}
+
+    def first(batch, batch_id):
+        seen["first"].append(batch_id)
+
+    def second(batch, batch_id):
+        if batch_id == 1 and fail["once"]:
+            fail["once"] = False
+            raise RuntimeError("sink down")
+        seen["second"].append((batch_id, batch.count()))
+
+    def run():
+        source = spark.readStream.schema(SAMPLE).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(data)
+        start_pipeline(source, [first, second], str(tmp_path / "c")).awaitTermination()
+
+    with pytest.raises(Exception):
+        run()
+    run()
+    assert seen["first"] == [0, 1, 2]
+    assert seen["second"] == [(0, 2), (1, 2), (2, 2)]
