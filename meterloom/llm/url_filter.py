@@ -20,7 +20,8 @@ _PARTS = r"://([^/?#]*)([^?#]*)"
 _QUERY = r"://[^/?#]*[^?#]*(\?[^#]*)"
 #: Elements that hold links (a ">" inside quotes ends none), their attributes, and the target in a refresh.
 _ELEMENT = re.compile(r"""<(link|meta)\b((?:"[^"<]*"|'[^'<]*'|[^>])*+)""", re.I)
-_ATTRIBUTE = re.compile(r"""([\w:-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>]+))""")
+#: A name starts where no name character stands before it and is taken whole, so a long run of letters is read once.
+_ATTRIBUTE = re.compile(r"""(?<![\w:-])([\w:-]++)\s*=\s*(?:"([^"]*)"|'([^']*)'|["']?([^"'\s>]+))""")
 _REFRESH = re.compile(r"""\burl\s*=\s*["']?([^"'\s>]+)""", re.I)
 
 

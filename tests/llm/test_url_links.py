@@ -28,3 +28,12 @@ def test_blocks_reach_pages_by_every_form(spark):
     df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
     got = {r["page_id"]: r["verdict"] for r in judge_urls(df, [("bad.test", "/b/", "block")]).collect()}
     assert got == {0: "block", 1: "block", 2: "block", 3: "allow"}
+
+
+def test_a_megabyte_tag_is_read_in_linear_time():
+    import time
+
+    start = time.time()
+    assert links_of(PAGE, "<link " + "a" * 1_000_000 + ">") == []
+    assert links_of(PAGE, "<link " + "a=" * 300_000 + ' rel=canonical href="/z">') == ["http://a.test/z"]
+    assert time.time() - start < 1
