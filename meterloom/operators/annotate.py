@@ -18,6 +18,10 @@ find the last control instant before them in one of two exact ways:
 Only control instants that some row finds get a *state*, and a state holds the labels to add and, of
 the labels its own rows carry, those to drop. So work follows the rows and the labels they get, not
 the number of control instants times the number of names.
+
+Where the rows after one instant carry many names between them, a state does not hold those to drop. Each *label
+set* (an instant and the names of a row) is then told which of its own names change, and rows
+look their set up, so a row's work is bounded by its own labels.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ CLEAR_ACTION = "clear"
 BROADCAST_BYTES = 32 << 20
 MAX_PER_BIN = 64
 ROWS_PER_RANGE = 1_000_000
+# Names that the rows of one instant carry, up to which its state holds those to drop.
+MAX_OWN_NAMES = 64
 
 
 def effective_edits(control: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -136,14 +142,11 @@ def _bins(timeline: DataFrame, broadcast_bytes: int, max_per_bin: int) -> tuple[
     return (bins, bin_of(F.col("_us"))) if densest <= max_per_bin else None
 
 
-def label_states(
-    own: DataFrame, edits: DataFrame, timeline: DataFrame, scratch: Scratch, *, rows_per_range: int = ROWS_PER_RANGE
-) -> DataFrame:
-    """``_lo, _add, _hide`` for those control instants of ``own`` (``_lo, name``) after which labels change.
-
-    ``own`` has the label names that rows carry after each instant that any row finds. ``_add`` are the labels
-    to set, ``_hide`` the rows' own names to drop.
-    """
+def _judged(
+    own: DataFrame, edits: DataFrame, timeline: DataFrame, scratch: Scratch, rows_per_range: int
+) -> tuple[DataFrame, DataFrame]:
+    """``(name, block, nth, value, own, dropped; _lo, nth)``: every name that is set after an instant that rows find, every
+    name of ``own``, and whether it is dropped there; and the numbers of those instants."""
     found = own.select(F.col("_lo").alias("us")).distinct().withColumn("found", F.lit(1))
     counted = timeline.join(found, "us", "left").select("us", "part", "until_us", F.coalesce("found", F.lit(0)).alias("found"))
     # numbers of the found instants: those up to an instant are counted range by range
@@ -178,12 +181,55 @@ def label_states(
     # a name's drops follow each other, so the last one that began tells
     so_far = Window.partitionBy("name", "block").orderBy("nth", F.col("until").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     judged = asked.union(drops).withColumn("dropped", F.coalesce(F.last("until", ignorenulls=True).over(so_far) >= F.col("nth"), F.lit(False)))
+    return judged.where("own is not null").drop("until"), instants
+
+
+def label_states(
+    own: DataFrame, edits: DataFrame, timeline: DataFrame, scratch: Scratch, *, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """``_lo, _add, _hide`` for those control instants of ``own`` (``_lo, name``) after which labels change.
+
+    ``own`` has the label names that rows carry after each instant that any row finds. ``_add`` are the labels
+    to set, ``_hide`` the rows' own names to drop.
+    """
+    judged, instants = _judged(own, edits, timeline, scratch, rows_per_range)
     kept = F.when(~F.col("own") & ~F.col("dropped"), F.struct("name", "value"))
     gone = F.when(F.col("own") & F.col("dropped"), F.col("name"))
-    states = judged.where("own is not null").groupBy("nth").agg(F.map_from_entries(F.collect_list(kept)).alias("_add"), F.collect_list(gone).alias("_hide"))
+    states = judged.groupBy("nth").agg(F.map_from_entries(F.collect_list(kept)).alias("_add"), F.collect_list(gone).alias("_hide"))
     return scratch.keep(states.where((F.size("_add") > 0) | (F.size("_hide") > 0)).join(instants, "nth").select("_lo", "_add", "_hide"))
 
 
+def label_fates(
+    own: DataFrame, edits: DataFrame, timeline: DataFrame, scratch: Scratch, *, rows_per_range: int = ROWS_PER_RANGE
+) -> DataFrame:
+    """``_lo, name, value, own``: the names that are set after an instant of ``own`` (with ``value``) and those of its own
+    that are dropped (without), a row each."""
+    judged, instants = _judged(own, edits, timeline, scratch, rows_per_range)
+    # a block follows from the number, so this needs no exchange of its own
+    fates = judged.groupBy("name", "block", "nth").agg(
+        F.max(F.when(~F.col("own") & ~F.col("dropped"), F.col("value"))).alias("value"),
+        F.bool_or("own").alias("carried"),
+        F.bool_or(F.col("own") & F.col("dropped")).alias("gone"),
+    )
+    fates = fates.where(F.col("value").isNotNull() | F.col("gone")).join(instants, "nth")
+    return scratch.keep(fates.select("_lo", "name", "value", F.col("carried").alias("own")))
+
+
+def set_changes(sets: DataFrame, fates: DataFrame, scratch: Scratch) -> DataFrame:
+    """``_lo, _keys, _off, _new`` of the label sets (``_lo, _keys``) that change: their own names that are dropped or set, and
+    the values of those set."""
+    names = sets.select("_lo", "_keys", F.explode("_keys").alias("name"))
+    new = F.when(F.col("value").isNotNull(), F.struct("name", "value"))
+    changed = names.join(fates.where("own").drop("own"), ["_lo", "name"]).groupBy("_lo", "_keys")
+    return scratch.keep(changed.agg(F.collect_list("name").alias("_off"), F.map_from_entries(F.collect_list(new)).alias("_new")))
+
+
+def _small(states: DataFrame, texts: Column, broadcast_bytes: int) -> DataFrame:
+    """With a broadcast hint if the ``texts`` of the states are counted to be few bytes."""
+    bytes_ = F.aggregate(texts, F.lit(64).cast("bigint"), lambda n, s: n + F.octet_length(s) + 16)
+    return F.broadcast(states) if (states.agg(F.sum(bytes_)).first()[0] or 0) <= broadcast_bytes else states
+
+
 def annotate(
     data: DataFrame,
     control: DataFrame,
@@ -194,18 +240,23 @@ def annotate(
     broadcast_bytes: int = BROADCAST_BYTES,
     max_per_bin: int = MAX_PER_BIN,
     rows_per_range: int = ROWS_PER_RANGE,
+    added: str | None = None,
 ) -> DataFrame:
     """``data`` with its label map edited by ``control`` (``ts, seq, action, name, value``).
 
     Rows without a label map are dropped. Unknown actions, actions without the name or value they
     need, and actions without a time are ignored. ``strategy`` is ``auto`` or ``merge``; ``auto``
-    measures the control instants first. ``data`` is read twice: for the instants and names it holds, and for the
+    measures the control instants first. With ``added``, label maps keep to the names that rows carry themselves, and
+    a column of that name counts the labels set beside them: for controls that set more names at
+    a time than should be copied into each row. ``data`` is read twice: for the instants and names it holds, and for the
     result. It must not be a stream: call this inside ``foreachBatch``.
     """
     if data.isStreaming:
         raise ValueError("annotate a stream inside foreachBatch, see meterloom.streaming")
     if strategy not in ("auto", "merge"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if added in data.columns:
+        raise ValueError(f"there is a column {added!r}")
     data = data.where(F.col(labels).isNotNull())
     scratch = Scratch(data.sparkSession, "annotate")
     edits, clears = effective_edits(control)
@@ -213,7 +264,7 @@ def annotate(
     timeline = control_timeline(edits, clears, scratch, rows_per_range=rows_per_range)
     if timeline.isEmpty():
         scratch.drop_all()
-        return data
+        return data.withColumn(added, F.lit(0).cast("bigint")) if added else data
     rows = data.withColumn("_us", epoch_micros(data, ts))
     bins = _bins(timeline, broadcast_bytes, max_per_bin) if strategy == "auto" else None
     if bins:
@@ -223,15 +274,37 @@ def annotate(
     else:
         read = scratch.keep(_last_instants(rows.select("_us"), timeline, scratch, rows_per_range))
         placed = rows.join(read, "_us", "left")
-    names = placed.where("_lo is not null").select("_lo", F.explode_outer(F.map_keys(labels)).alias("name"))
-    states = label_states(scratch.keep(names.distinct()), edits, timeline, scratch, rows_per_range=rows_per_range)
-    texts = F.concat(F.map_keys("_add"), F.map_values("_add"), F.col("_hide"))
-    bytes_ = F.aggregate(texts, F.lit(64).cast("bigint"), lambda n, s: n + F.octet_length(s) + 16)
-    small = (states.agg(F.sum(bytes_)).first()[0] or 0) <= broadcast_bytes
-    found = placed.join(F.broadcast(states) if small else states, "_lo", "left")
-    # the result reads only the rows, where they fall and the states
-    scratch.drop_all(read, states)
-    # What a row keeps of its own, then what the state adds.
-    own = F.map_filter(labels, lambda k, _: ~F.array_contains("_hide", k) & ~F.map_contains_key("_add", k))
-    new_labels = F.when(F.col("_add").isNull(), F.col(labels)).otherwise(F.map_concat(own, "_add"))
-    return found.select(*[new_labels.alias(c) if c == labels else F.col(f"`{c}`") for c in data.columns])
+    placed = placed.withColumn("_keys", F.map_keys(labels))
+    sets = scratch.keep(placed.where("_lo is not null").select("_lo", "_keys").distinct())
+    own = scratch.keep(sets.select("_lo", F.explode_outer("_keys").alias("name")).distinct())
+    most = own.groupBy("_lo").agg(F.count("name").alias("n")).agg(F.max("n")).first()[0] or 0
+    if not added and most <= MAX_OWN_NAMES:
+        states = label_states(own, edits, timeline, scratch, rows_per_range=rows_per_range)
+        texts = F.concat(F.map_keys("_add"), F.map_values("_add"), F.col("_hide"))
+        found, kept = placed.join(_small(states, texts, broadcast_bytes), "_lo", "left"), [states]
+        # what a row keeps of its own
+        mine = F.map_filter(labels, lambda k, _: ~F.array_contains("_hide", k) & ~F.map_contains_key("_add", k))
+        mine = F.when(F.col("_add").isNull(), F.col(labels)).otherwise(mine)
+    else:
+        fates = label_fates(own, edits, timeline, scratch, rows_per_range=rows_per_range)
+        changes = set_changes(sets, fates, scratch)
+        news = fates.where("value is not null").groupBy("_lo")
+        if added:
+            states = scratch.keep(news.agg(F.count(F.lit(1)).alias("_n")))
+            joined = states
+        else:
+            states = scratch.keep(news.agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("_add")))
+            joined = _small(states, F.concat(F.map_keys("_add"), F.map_values("_add")), broadcast_bytes)
+        found, kept = placed.join(changes, ["_lo", "_keys"], "left").join(joined, "_lo", "left"), [changes, states]
+        mine = F.map_filter(labels, lambda k, _: ~F.array_contains("_off", k))
+        mine = F.when(F.col("_off").isNull(), F.col(labels)).otherwise(mine)
+    # the result reads only the rows, where they fall, the states and what changes in label sets
+    scratch.drop_all(read, *kept)
+    if added:
+        new_labels = F.when(F.col("_new").isNull(), F.col(labels)).otherwise(F.map_concat(mine, "_new"))
+        n_new = F.when(F.col("_new").isNull(), 0).otherwise(F.size("_new"))
+        found = found.withColumn(added, F.coalesce("_n", F.lit(0)) - n_new)
+    else:
+        new_labels = F.when(F.col("_add").isNull(), mine).otherwise(F.map_concat(mine, "_add"))
+    columns = [*data.columns, added] if added else data.columns
+    return found.select(*[new_labels.alias(c) if c == labels else F.col(f"`{c}`") for c in columns])

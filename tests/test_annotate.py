@@ -193,3 +193,26 @@ def test_timeline_frames_grow_and_a_million_instants_are_linear(spark):
     scratch.drop_all()
     assert any("windowspecdefinition" in p.replace(" ", "").lower() for p in plans)
     assert all("unboundedfollowing" not in p.replace(" ", "").lower() for p in plans)
+
+
+@pytest.mark.parametrize("strategy", ["auto", "merge"])
+def test_many_own_names_at_an_instant_are_looked_up_by_label_set(spark, strategy):
+    hour = dt.timedelta(hours=1)
+    control = [(T0 + i * hour, 2 * i, "delete", f"d{j}", None) for i in range(3) for j in range(i * 40, i * 40 + 40)]
+    control += [(T0 + 2 * hour, 900 + j, "set", f"s{j}", str(j)) for j in range(30)] + [(T0 + 2 * hour, 990, "undelete", "d5", None)]
+    data = [(i, T0 + (1 + i % 4) * hour, {"host": "h", f"d{i}": "x", f"s{i % 50}": "own"}) for i in range(300)] + [(999, T0 + 9 * hour, {})]
+    got = annotate(spark.createDataFrame(data, DATA), spark.createDataFrame(control, CONTROL), strategy=strategy)
+    # no state holds the names that all its rows carry between them
+    assert "_hide" not in got._jdf.queryExecution().analyzed().toString()
+    assert {r.id: r.labels for r in got.collect()} == fold(data, control)
+
+
+@pytest.mark.parametrize("seed", [7, 8])
+def test_added_counts_what_is_set_beside_a_rows_own_names(spark, seed):
+    data, control = random_case(seed, 300, 120, ["host", "phase", "run", "gpu", "rack"], 400)
+    got = annotate(spark.createDataFrame(data, DATA), spark.createDataFrame(control, CONTROL), added="n")
+    assert got.columns == ["id", "ts", "labels", "n"]
+    own, want = {r[0]: r[2] for r in data}, fold(data, control)
+    assert {r.id: (r.labels, r.n) for r in got.collect()} == {
+        i: ({k: v for k, v in m.items() if k in own[i]}, sum(k not in own[i] for k in m)) for i, m in want.items()
+    }
