@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import ntz_as_utc
 from ..operators.samples import to_samples
 from ..operators.series import label_pairs, labels_text
+from ..sources.lines import spread
 from ..specs import SeriesSpec
 
 
@@ -28,7 +29,11 @@ def cents(c: Column | str) -> Column:
 
 def events_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as wide telemetry: labels user_id and event_type, values value and k."""
-    return table(spark, sf_dir, "events").select(
+    return wide(table(spark, sf_dir, "events"))
+
+
+def wide(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id", "ts", "user_id", "event_type", "value", F.get_json_object("props", "$.k").cast("bigint").alias("k")
     )
 
@@ -83,7 +88,7 @@ def order_control(spark: SparkSession, sf_dir: str) -> DataFrame:
 def event_control(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a control action at its own time; the label is its type."""
     k = F.col("k")
-    return events_wide(spark, sf_dir).select(
+    return wide(spread(table(spark, sf_dir, "events"))).select(
         "ts",
         F.col("event_id").alias("seq"),
         F.when(k < 50, "set").when(k < 65, "unset").when(k < 80, "delete").when(k < 95, "undelete")

@@ -63,3 +63,12 @@ def stamp_origin(df: DataFrame, tag: str) -> DataFrame:
 def fan_in(*inputs: DataFrame) -> DataFrame:
     """All rows of several inputs; columns missing on one side are NULL there."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), inputs)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows in as many partitions as there are cores, where their source gives fewer: few files, or large row groups.
+
+    For what is narrow from here on, and would run on as many cores as the source has pieces.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

@@ -21,6 +21,7 @@ from ..schemas import CONTROL_SCHEMA
 from ..scratch import _exists, _touch, lease, sweep_orphans, written
 from ..sinks.files import check_codec, file_rows
 from ..sources.delimited import read_delimited
+from ..sources.lines import spread
 from ..specs import SAMPLE_TYPE, FieldSpec
 
 # The fields of a control line. A ``clear`` line needs some name as well.
@@ -183,12 +184,13 @@ def start_pipeline(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         # the batch's intermediate tables live until all its sinks have written it
-        # (annotate reads its input twice, so it is kept in memory for that)
+        # (annotate reads its input twice, so it is kept in memory for that; a source of few pieces is dealt to all
+        # cores first, as annotation and sinks stay in its partitions)
         with lease(batch.sparkSession):
             if control_path is None:
                 fan_out(batch, batch_id, sinks, marks)
                 return
-            rows = batch.persist()
+            rows = spread(batch).persist()
             try:
                 fan_out(annotate(rows, read_control(batch.sparkSession, control_path)), batch_id, sinks, marks)
             finally:

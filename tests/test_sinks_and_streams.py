@@ -271,3 +271,14 @@ def test_a_failing_sink_makes_no_other_sink_see_a_batch_twice(spark, tmp_path):
     run()
     assert seen["first"] == [0, 1, 2]
     assert seen["second"] == [(0, 2), (1, 2), (2, 2)]
+
+
+def test_a_source_of_one_piece_is_dealt_to_all_cores(spark, tmp_path):
+    control, data = str(tmp_path / "control"), str(tmp_path / "data")
+    spark.createDataFrame([(T0, 0, "set", "phase", "warm")], "ts timestamp, seq long, action string, name string, value string").write.parquet(control)
+    samples(spark, 400).coalesce(1).write.parquet(data)
+    seen = []
+    sink = lambda batch, _: seen.append((batch.rdd.getNumPartitions(), sorted(r.value for r in batch.collect())))
+    stream = spark.readStream.schema(SAMPLE).parquet(data)
+    start_pipeline(stream, [sink], str(tmp_path / "c"), control_path=control).awaitTermination()
+    assert seen == [(spark.sparkContext.defaultParallelism, [float(i) for i in range(400)])]
