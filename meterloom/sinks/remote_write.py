@@ -2,7 +2,8 @@
 
 ``series.write.format("remote_write").option("address", ...).mode("append").save()``, or the same
 with ``writeStream``. Each task sends its own rows, a bounded number of samples per request, so
-the number of partitions is the number of connections. A failed request fails the task; Spark's
+the number of partitions is the number of connections. Series of many samples should come as
+``sample_pieces(series)``, as they do from the stream's sink: Spark hands rows to Python 10,000 at a time. A failed request fails the task; Spark's
 retry may then send samples twice, which the protocol allows.
 """
 
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceStreamArrowWriter, WriterCommitMessage
 
 # Tasks get this module's code with the job, so that workers need no installed copy.
@@ -39,12 +41,25 @@ TIMEOUT_SECONDS = 5.0
 # Samples per request unless told otherwise.
 MAX_SAMPLES = 524_288
 
+# Samples of a row that goes to Python, and those that are encoded at a time: they bound a task's memory, not its result.
+PIECE_SAMPLES = 256
+WINDOW_SAMPLES = 65_536
+
 PAYLOAD_SCHEMA = "payload binary, n_series int, n_samples bigint, last_ms bigint"
 
 # (url, headers, body, timeout) -> HTTP status
 Post = Callable[[str, dict, bytes, float], int]
 
 
+def sample_pieces(series: DataFrame, size: int = PIECE_SAMPLES) -> DataFrame:
+    """``labels, samples, more``: each series in rows of up to ``size`` samples that follow each other; ``more`` tells that
+    the next row goes on with it. Narrow: no shuffle."""
+    last = F.greatest(F.ceil(F.size("samples") / size) - 1, F.lit(0))
+    cut = lambda i: F.slice("samples", (i * size + 1).cast("int"), size)
+    pieces = F.transform(F.sequence(F.lit(0).cast("bigint"), last), lambda i: F.struct(cut(i).alias("samples"), (i < last).alias("more")))
+    return series.where("samples is not null").select("labels", F.inline(pieces))
+
+
 def remote_write_payloads(series: DataFrame, *, max_samples: int = MAX_SAMPLES) -> DataFrame:
     """One row per request: the compressed body with what it holds. Narrow: no shuffle."""
 
@@ -60,7 +75,7 @@ def remote_write_payloads(series: DataFrame, *, max_samples: int = MAX_SAMPLES)
                 names=["payload", "n_series", "n_samples", "last_ms"],
             )
 
-    return series.select("labels", "samples").mapInArrow(encode, PAYLOAD_SCHEMA)
+    return sample_pieces(series).mapInArrow(encode, PAYLOAD_SCHEMA)
 
 
 @dataclass
@@ -78,38 +93,55 @@ def _requests(batches: Iterator[pa.RecordBatch], max_samples: int) -> Iterator[_
     def close() -> _Request:
         return _Request(pa.compress(b"".join(parts), codec="snappy", asbytes=True), len(parts), n_samples, last_ms)
 
-    for batch in batches:
-        for message, n, newest in _series_messages(batch, max_samples):
-            if parts and n_samples + n > max_samples:
-                yield close()
-                parts, n_samples, last_ms = [], 0, None
-            parts.append(message)
-            n_samples += n
-            last_ms = newest if last_ms is None else max(last_ms, newest)
+    for message, n, newest in _messages(batches, max_samples):
+        if parts and n_samples + n > max_samples:
+            yield close()
+            parts, n_samples, last_ms = [], 0, None
+        parts.append(message)
+        n_samples += n
+        last_ms = newest if last_ms is None else max(last_ms, newest)
     if parts:
         yield close()
 
 
 def _series_messages(batch: pa.RecordBatch, max_samples: int = MAX_SAMPLES) -> Iterator[tuple[bytes, int, int]]:
+    return _messages(iter([batch]), max_samples)
+
+
+def _messages(batches: Iterator[pa.RecordBatch], max_samples: int) -> Iterator[tuple[bytes, int, int]]:
     """Protobuf message, sample count and newest instant of each series with samples.
 
     A series of more than ``max_samples`` is several messages with the same labels, in the order of its samples.
+    Rows that tell of ``more`` are one series with the next row, in whichever batch that is.
     """
-    samples = batch.column("samples")
-    offsets = np.asarray(samples.offsets)
-    flat = samples.values
-    stamps = flat.field("timestamp").to_numpy(zero_copy_only=False).astype(np.int64)
-    values = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
-    buffer, starts = _sample_messages(stamps, values)
-    for i, labels in enumerate(batch.column("labels").to_pylist()):
-        begin, end = int(offsets[i]), int(offsets[i + 1])
-        if begin == end:
-            continue
-        head = b"".join(_field(1, _field(1, p["name"].encode()) + _field(2, _text(p["value"]))) for p in labels)
-        for lo in range(begin, end, max_samples):
-            hi = min(lo + max_samples, end)
-            body = head + buffer[starts[lo] : starts[hi]].tobytes()
-            yield _field(1, body), hi - lo, int(stamps[lo:hi].max())
+    head, body, n, newest, goes_on = b"", [], 0, None, False
+    for batch in batches:
+        samples = batch.column("samples")
+        offsets, flat = np.asarray(samples.offsets), samples.values
+        more = batch.column("more").to_pylist() if "more" in batch.schema.names else [False] * batch.num_rows
+        first = until = 0  # the window: samples that are encoded
+        for i, labels in enumerate(batch.column("labels").to_pylist()):
+            lo, end = int(offsets[i]), int(offsets[i + 1])
+            if not goes_on and lo < end:
+                head = b"".join(_field(1, _field(1, p["name"].encode()) + _field(2, _text(p["value"]))) for p in labels)
+            while lo < end:
+                if lo >= until:
+                    first, until = lo, min(lo + WINDOW_SAMPLES, len(flat))
+                    stamps, values = (flat.field(c).slice(first, until - first).to_numpy(zero_copy_only=False) for c in ("timestamp", "value"))
+                    stamps, values = stamps.astype(np.int64), values.astype(np.float64)
+                    buffer, starts = _sample_messages(stamps, values)
+                hi = min(end, until, lo + max_samples - n)
+                body.append(buffer[starts[lo - first] : starts[hi - first]].tobytes())
+                latest = int(stamps[lo - first : hi - first].max())
+                newest = latest if newest is None else max(newest, latest)
+                n, lo = n + hi - lo, hi
+                if n == max_samples:
+                    yield _field(1, head + b"".join(body)), n, newest
+                    body, n, newest = [], 0, None
+            goes_on = more[i]
+            if n and not goes_on:
+                yield _field(1, head + b"".join(body)), n, newest
+                body, n, newest = [], 0, None
 
 
 def _text(value: str | None) -> bytes:

@@ -120,6 +120,8 @@ def remote_write_sink(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        from ..sinks.remote_write import sample_pieces
+
         typed, by_type = keep_type(batch, record_type)
         judged = series_row_errors(typed)
         error = F.col("_error")
@@ -129,7 +131,7 @@ def remote_write_sink(
         # one table: assembly, rejects and counts all come from the same reading
         table = written(judged, "remote-write")
         good = table.where(error.isNull()).drop("_error")
-        assemble_series(good, chunk).write.format("remote_write").options(**options).mode("append").save()
+        sample_pieces(assemble_series(good, chunk)).write.format("remote_write").options(**options).mode("append").save()
         if rejects is not None:
             rejects(table.where(error.isNotNull()).withColumnRenamed("_error", "error"), batch_id)
         if report is not None:

@@ -282,3 +282,30 @@ def test_a_source_of_one_piece_is_dealt_to_all_cores(spark, tmp_path):
     stream = spark.readStream.schema(SAMPLE).parquet(data)
     start_pipeline(stream, [sink], str(tmp_path / "c"), control_path=control).awaitTermination()
     assert seen == [(spark.sparkContext.defaultParallelism, [float(i) for i in range(400)])]
+
+
+def test_pieces_and_windows_change_no_request(spark, monkeypatch):
+    # seven samples a piece, eleven a window: cuts fall inside pieces, windows and requests
+    series = assemble_series(samples(spark, 400), "2 minutes").coalesce(1)
+    whole = [r for b in [series.toArrow().combine_chunks()] for r in rw._requests(iter(b.to_batches()), 30)]
+    pieces = rw.sample_pieces(series, 7)
+    assert pieces.selectExpr("max(size(samples))").first()[0] == 7
+    monkeypatch.setattr(rw, "WINDOW_SAMPLES", 11)
+    cut = list(rw._requests(iter(pieces.toArrow().to_batches(max_chunksize=5)), 30))
+    assert cut == whole and sum(r.n_samples for r in cut) == 400
+
+
+def test_encoding_memory_does_not_follow_the_batch():
+    import tracemalloc
+
+    peaks = []
+    for n in (400_000, 1_600_000):
+        flat = pa.StructArray.from_arrays([pa.array(np.arange(n)), pa.array(np.ones(n))], names=["timestamp", "value"])
+        lists = pa.ListArray.from_arrays(pa.array([0, n // 2, n], pa.int32()), flat)
+        labels = pa.array([[{"name": "a", "value": str(i)}] for i in range(2)])
+        batch = pa.RecordBatch.from_arrays([labels, lists], names=["labels", "samples"])
+        tracemalloc.start()
+        assert sum(r.n_samples for r in rw._requests(iter([batch]), 1000)) == n
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
